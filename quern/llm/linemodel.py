@@ -35,8 +35,24 @@ def fold(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFKD", text).translate(_UNMARKED).replace("ß", "ss").replace("œ", "oe")
 
 
+_WORDS: dict[str, tuple[str, ...]] = {}
+
+
 def tokens(line: str, vocabulary: frozenset[str]) -> list[str]:
-    return [t if t in vocabulary or not t[0].isalpha() and not t[0].isdigit() else "0" if t[0].isdigit() else "N" for t in _TOKEN.findall(fold(line))]
+    """The folded words, signs, numbers ("0") and unknown words ("N") of a line; each distinct word is looked at once per task.
+
+    One vocabulary serves a process, so it is no part of the store's key.
+    """
+    out: list[str] = []
+    for word in line.split():
+        known = _WORDS.get(word)
+        if known is None:
+            known = tuple(t if t in vocabulary or not t[0].isalpha() and not t[0].isdigit() else "0" if t[0].isdigit() else "N" for t in _TOKEN.findall(fold(word)))
+            if len(_WORDS) > 300_000:
+                _WORDS.clear()
+            _WORDS[word] = known
+        out += known
+    return out
 
 
 def features(toks: list[str]) -> list[str]:

@@ -99,7 +99,7 @@ class Repairer:
 
     def suspect(self, text: str) -> bool:
         """Whether text holds a non-ASCII word that is in no dictionary, or a sign outside the usual ones."""
-        for token in _BREAK.split(text):
+        for token in _BREAK.split(text) if len(text) < 400 else (t for x in text.split("\n") if not x.isascii() for t in x.split(" ")):
             if token.isascii():
                 continue
             is_known = self.tokens.get(token)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import dedup, leaks, lines, split, tokens
+from quern.llm import dedup, language, leaks, lines, mojibake, pages, quality, residue, split, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,49 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), least=10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_sites, p7_found, p7_pages, p8_ids, p8_round_trip, p9_found)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found(_table(spark, sf_dir, "evidence"), "page_id", "text")
+
+
+def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.without_residue(_table(spark, sf_dir, "evidence").select("page_id", "text"), "page_id", "text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.furniture_lines(_table(spark, sf_dir, "evidence"), "page_id", "text")
+
+
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_body(_table(spark, sf_dir, "evidence"), "page_id", "text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.page_languages(_table(spark, sf_dir, "evidence"), "page_id", "text", "language_hint")
+    return found.where("NOT hint_is_right").select("page_id", "lang")
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(_table(spark, sf_dir, "evidence"), "page_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(_table(spark, sf_dir, "evidence"), "page_id", "text")
+
+
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired(_table(spark, sf_dir, "evidence"), "page_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_ALL = (p1_found, p1_pieces, p2_found, p2_pages, p3_found, p3_sites, p4_found, p4_bodies, p5_found, p5_segments, p6_found, p6_texts, p7_found, p7_pages, p8_ids, p8_round_trip, p9_found, p10_found, p10_statistics)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _DROP = r"[^\p{L}\p{Nd}]+"

@@ -99,6 +99,7 @@ def fit_lines(prose: list[str], words: Counter) -> None:
     vocabulary |= {w for w, c in words.items() if c >= 25}
     vocabulary = frozenset(vocabulary)
     data = [(c, re.sub(r"NAME(?![a-z])", "Qq", x)) for c, x in data]
+    linemodel._WORDS.clear()
     feats = [linemodel.features(linemodel.tokens(x, vocabulary)) for _, x in data]
     counts = Counter(f for fs in feats for f in set(fs))
     index = {f: k for k, f in enumerate(sorted(counts))}
