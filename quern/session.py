@@ -48,8 +48,9 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str
     lookup must hold in column `count` how many of rows have its key. Keys with more than 1/HOT_SHARE of the rows are hot;
     there can be no more than HOT_SHARE of them, so the list of hot keys that is broadcast has that bound. Rows of hot keys get
     one of SALTS salts by a hash of their columns (the same in every attempt of a task), and the lookup's hot rows are repeated for each salt; all other rows keep salt 0.
-    Rows with a null key find nothing.
+    Rows with a null key find nothing. The lookup is written once to the checkpoint folder, as it is read three times.
     """
+    lookup = cut(lookup)
     total = lookup.agg(F.sum(count).alias("total"))
     hot = (
         lookup.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], F.col(count).alias("__n"))
