@@ -88,9 +88,9 @@ def model() -> LanguageModel:
 
 
 #: Ends of sentences; what follows starts with a capital, a quotation mark or an inverted sign.
-_END = re.compile(r"(?<=[.!?…])[\"”»“)\]]*\s+(?=[^\Wa-zß-öø-ÿ\d_]|[“«„\"¿¡(])")
+_END = re.compile(r"[.!?…][\"”»“)\]]*\s+(?=[^\Wa-zß-öø-ÿ\d_]|[“«„\"¿¡(])")
 #: Words before a full stop that ends no sentence.
-_SHORT = re.compile(r"(?:\b(?:inkl|incl|ca|nr|no|aprox|approx|est|ex|ej|es|[a-zA-Z]))\.$", re.I)
+_SHORT = re.compile(r"(?:(?<!\w)(?:inkl|incl|ca|nr|no|aprox|approx|est|ex|ej|es|[a-zA-Z]))\.$", re.I)
 _QUOTED = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|\"[^\"]*\"|‘[^‘’]{12,}’(?!\w)")
 _MARK = re.compile("[“„«\"‘]")
 #: A closed sentence; signs such as emoji may follow.
@@ -105,12 +105,13 @@ def sentences(text: str) -> list[str]:
         if _MARK.search(text):
             text = _QUOTED.sub(" ", text)
     out: list[str] = []
-    for part in _END.split(text):
-        if out and _SHORT.search(out[-1]):
-            out[-1] += " " + part
-        else:
-            out.append(part)
-    return [s for s in out if _CLOSED.search(s) and len(WORD.findall(s)) >= LEAST_WORDS]
+    at = 0
+    for m in _END.finditer(text):
+        if text[m.start()] != "." or not _SHORT.search(text, max(at, m.start() - 12), m.start() + 1):
+            out.append(text[at : m.end()].rstrip())
+            at = m.end()
+    out.append(text[at:])
+    return [s for s in out if s.count(" ") >= LEAST_WORDS - 1 and (s[-1] in ".!?…" or _CLOSED.search(s))]
 
 
 #: A sentence less sure than this goes with the sure sentences beside it.
@@ -129,7 +130,7 @@ def _judged(sentence: str) -> tuple[bool, str, float]:
         p = m.of_tokens(list(key))
         words = [t for t in key if t.isalpha() and t != "N"]
         found = model().detect_words(words) if len(words) >= 3 else model().detect(sentence)
-        known = (bool(max(p[pages._C], p[pages._T]) > 0.4), *found)
+        known = (bool(max(p[pages._C], p[pages._T]) > 0.4) and sum(t.isalpha() for t in key) >= LEAST_WORDS, *found)
         if len(_SEEN) > 200_000:
             _SEEN.clear()
         _SEEN[key] = known

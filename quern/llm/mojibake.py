@@ -26,7 +26,6 @@ STEPS = (("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"), ("cp
 TWICE = (("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"))
 #: Bytes a chain costs: its first step to another single-byte encoding or to UTF-8, whose bytes are seldom valid by chance, and each further step.
 CHAIN_COST, UTF8_COST, STEP_COST = 2, 0, 1
-_BREAK = re.compile("[ \t\r\n]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Signs that a clean text may hold beside its words.
 _SIGNS = str.maketrans(dict.fromkeys("\xa0–—’‘“”„«»…•·©®°º€£¿¡▾⚠✅❤️📦🧪😀🏥🚚§×№≈█⚕ ​‍ ﻿", " "))
@@ -99,9 +98,7 @@ class Repairer:
 
     def suspect(self, text: str) -> bool:
         """Whether text holds a non-ASCII word that is in no dictionary, or a sign outside the usual ones."""
-        for token in _BREAK.split(text) if len(text) < 400 else (t for x in text.split("\n") if not x.isascii() for t in x.split(" ")):
-            if token.isascii():
-                continue
+        for token in [t for t in text.split() if not t.isascii()]:
             is_known = self.tokens.get(token)
             if is_known is None:
                 rest = token.translate(_SIGNS)
