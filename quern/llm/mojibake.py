@@ -7,6 +7,7 @@ Suspect are lines with a non-ASCII word that the dictionaries' texts don't hold.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,14 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = str.maketrans(dict.fromkeys("\xa0–—’‘“”„«»…•·©®°º€£¿¡▾⚠✅❤️📦🧪😀🏥🚚§×№≈█⚕ ​‍ ﻿", " "))
 _QUOTED = re.compile(r"“[^“”„«»]{1,40}[”“]|„[^“”„«»]{1,40}[“”]|«[^“”«»]{1,40}»|\"[^\"]{1,40}\"")
 LOST = "�"
+
+
+def _unusual(e: UnicodeEncodeError) -> tuple[str, int]:
+    """Signs outside cp1252 stand as question marks: two for one of the basic plane, one for emoji and the like."""
+    return "".join("?" if ord(c) > 0xFFFF else "??" for c in e.object[e.start : e.end]), e.end
+
+
+codecs.register_error("quern-unusual", _unusual)
 _GAPPED = re.compile(f"[^\\W\\d_]*{LOST}[^\\W\\d_{LOST}]*(?:{LOST}[^\\W\\d_{LOST}]*)*")
 _PARTS = re.compile(r"(?<=[.!?…]) (?=\S)")
 
@@ -83,7 +92,7 @@ class Repairer:
         self.coders, self.known = [], set()
         for language in LANGUAGES:
             prose = (folder / f"prose_{language}.txt").read_text(encoding="utf-8")
-            data = zstandard.ZstdCompressionDict((labelled + prose).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data = zstandard.ZstdCompressionDict((labelled + prose).encode("cp1252", "quern-unusual"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0)
             data.precompute_compress(compression_params=params)
             self.coders.append(zstandard.ZstdCompressor(dict_data=data, compression_params=params))
@@ -96,8 +105,9 @@ class Repairer:
         self.tokens: dict[str, bool] = {}
         self.lines: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {}
 
-    def suspect(self, text: str) -> bool:
-        """Whether text holds a non-ASCII word that is in no dictionary, or a sign outside the usual ones."""
+    def unknown(self, text: str) -> int:
+        """How many of the text's words hold a non-ASCII word that is in no dictionary, or a sign outside the usual ones."""
+        count = 0
         for token in [t for t in text.split() if not t.isascii()]:
             is_known = self.tokens.get(token)
             if is_known is None:
@@ -106,12 +116,14 @@ class Repairer:
                 if len(self.tokens) > 200_000:
                     self.tokens.clear()
                 self.tokens[token] = is_known
-            if not is_known:
-                return True
-        return False
+            count += not is_known
+        return count
+
+    def suspect(self, text: str) -> bool:
+        return self.unknown(text) > 0
 
     def length(self, text: str) -> int:
-        data = text.encode("utf-8", "replace")
+        data = text.encode("cp1252", "quern-unusual")  # one byte a sign, so that no sign is dear for its encoding alone
         return min(len(c.compress(data)) for c in self.coders) + 4 * text.count(LOST)
 
     def best(self, line: str) -> tuple[str, tuple[tuple[str, str], ...]]:
@@ -141,7 +153,8 @@ class Repairer:
                 if any(0x80 <= ord(c) <= 0x9F for c in text):
                     continue
                 cost = self.length(text) + (UTF8_COST if first[1] == "utf-8" else CHAIN_COST) + STEP_COST * (len(chain) - 1)
-                if cost < least:
+                # another single-byte reading must also leave fewer unknown words
+                if cost < least and (chain[-1][1] == "utf-8" or self.unknown(text) < self.unknown(short)):
                     best, least = chain, cost
         fixed = line
         for step in best:

@@ -152,6 +152,16 @@ def fit_language(sentences: list[tuple[str, str]]) -> None:
     print("language, on its own rows:", np.mean([m.detect(s)[0] == x for x, s in sentences[:4000]]))
 
 
+def usual(texts) -> set[str]:  # noqa: ANN001
+    """The non-ASCII words that are the usual spelling of their pattern; a garbled spelling is rare beside the right one."""
+    counts = Counter(w for t in texts for w in language.WORD.findall(t.lower()) if not w.isascii())
+    most: Counter = Counter()
+    for w, c in counts.items():
+        pattern = re.sub(r"[^\x00-\x7f]", "?", w)
+        most[pattern] = max(most[pattern], c)
+    return {w for w, c in counts.items() if c >= 5 and c >= 0.2 * most[re.sub(r"[^\x00-\x7f]", "?", w)]}
+
+
 def main(folder: str) -> None:
     import pyarrow.parquet as pq
 
@@ -164,6 +174,9 @@ def main(folder: str) -> None:
         for s in language.sentences(" ".join(text.split())):
             if 30 < len(s) < 300 and not _ODD.search(s) and s[-1] in ".!?" and s[0].isupper() and "�" not in s and lang in function:
                 by_lang[lang].append(s)
+    raw: dict[str, list[str]] = defaultdict(list)
+    for text, lang in zip(documents.text, documents.lang, strict=True):
+        raw[lang] += [x for x in _SENTENCE.split(" ".join(text.split())) if 30 < len(x) < 400 and x[-1] in ".!?" and not _ODD.search(x)]
     words = Counter(w for ss in by_lang.values() for s in ss for w in re.findall("[a-z]+", linemodel.fold(s)))
     paragraphs = [p for t in pages.text for p in t.split("\n") if len(p) > 150 and p.count(". ") > 1 and not _ODD.search(p)]
     words.update(w for p in paragraphs for w in re.findall("[a-z]+", linemodel.fold(p)))
@@ -176,11 +189,16 @@ def main(folder: str) -> None:
     rng.shuffle(sample)
     fit_language(sample)
     common = {w for w, c in words.items() if c >= 25}
-    for lang, ss in by_lang.items():
+    clean = set().union(usual(paragraphs), *(usual(ss) for ss in raw.values()))
+    for lang in by_lang:
+        ss = raw[lang]
         seen: set[str] = set()
         out, size = [], 0
         for s in ss + [x for p in paragraphs for x in _SENTENCE.split(p) if language.model().detect(x)[0] == lang]:
-            new = {w for w in language.WORD.findall(s.lower()) if linemodel.fold(w) in common} - seen
+            own = language.WORD.findall(s.lower())
+            if any(not w.isascii() and w not in clean for w in own):
+                continue
+            new = {w for w in own if linemodel.fold(w) in common} - seen
             if new and size + len(s.encode()) < PROSE_BYTES:
                 out.append(s)
                 seen |= new
