@@ -6,14 +6,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.session import spark_python_white
+from quern.session import WHITE, spark_python_white
 
 _WHITE = spark_python_white()
 
 
 def strip(c: Column) -> Column:
     """c without white space at both ends, as str.strip has it."""
-    return F.regexp_replace(c, f"^[{_WHITE}]+|[{_WHITE}]+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
@@ -23,7 +23,7 @@ def collapse(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """Whether c is null or holds white space alone."""
-    return F.coalesce(~c.rlike(f"[^{_WHITE}]"), F.lit(True))
+    return F.coalesce(strip(c) == "", F.lit(True))
 
 
 def is_english_hint(c: Column) -> Column:

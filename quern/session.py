@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one in HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys.
@@ -74,12 +74,16 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str
     return spread.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
-def spark_python_white() -> str:
-    """A character class body for white space as Python's str.strip has it, for Java and RE2 patterns."""
-    return r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has so few partitions that most would idle (a small table in one file); else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
 
+#: White space as Python's str.strip has it.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-def stripped(column: Column) -> Column:
-    """column without white space at both ends, as str.strip does it."""
-    white = spark_python_white()
-    return F.regexp_replace(column, f"^[{white}]+|[{white}]+$", "")
+
+def spark_python_white() -> str:
+    """The same as a character class body for Java and RE2 patterns."""
+    return r"\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
