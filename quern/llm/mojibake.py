@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import spread
+
 MODELS = Path(__file__).parent / "models"
 LANGUAGES = ("en", "pt", "es", "fr", "de", "it")
 #: Wrong decodings (read as, written as) that are undone, one step each.
@@ -243,7 +245,7 @@ def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             text, changed, lost = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(changed, pa.int32()), pa.array(lost, pa.int32())], schema.names)
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def garbled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

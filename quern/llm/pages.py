@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import linemodel, mojibake
+from quern.session import spread
 
 #: A score's bounds, and the least sum of a negative run inside a region that makes it furniture.
 BOUND, LEAST = 4.0, 0.7
@@ -150,7 +151,7 @@ def _map(df: DataFrame, id_col: str, text_col: str, fields: list[T.StructField],
 
     more = [F.col(extra).alias("extra")] if extra else []
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more).where(F.col("text").isNotNull())
-    return texts.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(texts).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def furniture_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -205,8 +205,11 @@ def assess(text: str) -> dict:
         plain = kinds[:3].sum()
         longest = max(len(lines[r]) for r in rows)
         heaped = form in ("prose", "bare") and plain >= 12 and kinds[0] <= 0.1 * plain and longest >= 120
+        if form in ("prose", "bare") and len(toks) >= 25 and not any(_STOP.search(lines[r]) for r in rows):
+            # the same few words over and over
+            heaped = heaped or len(set(toks)) < 0.35 * len(toks)
         odd = form == "bare" and kinds[4] > (0.2 if longest >= 200 else 0.4) * len(toks)
-        flowing = form == "bare" and len(toks) > 14 * len(rows) and kinds[0] > 0.15 * len(toks)
+        flowing = form == "bare" and len(toks) > 10 * len(rows) and kinds[0] > 0.15 * len(toks) and not heaped
         shape[4 if odd else 5 if heaped else 0 if flowing else _SHAPE[form]] = 1
         weight[_nearest(chars, kinds, shape)] += size
     other = max(KINDS[1:], key=lambda k: weight[k])

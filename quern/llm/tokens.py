@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Pre-tokens kept per task; at the bound the store starts afresh, which changes speed alone.
 STORED = 400_000
@@ -101,7 +103,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str = TOKENIZER) ->
             values = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "ids"])
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    out = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
 
 
