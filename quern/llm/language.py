@@ -5,6 +5,7 @@ The features of a sentence are its words' letter runs; a word's scores are compu
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from functools import lru_cache
@@ -66,20 +67,24 @@ class LanguageModel:
         return self.detect_words(WORD.findall(fold(sentence)))
 
     def detect_words(self, words: list[str]) -> tuple[str, float]:
-        score = self.score(words)
-        if score is None:
+        found = self.score(words)
+        if found is None:
             return "und", 0.0
-        sure = 1 / (1 + np.exp(-SLOPE * np.abs(score)))
-        family = FAMILIES["romance"] if score[0] > 0 else FAMILIES["germanic"]
-        wins = dict.fromkeys(family, 0.0)
-        least = {x: 1.0 for x in family}
+        score = found.tolist()
+        wins, least = {}, {}
+        romance = score[0] > 0
+        for x in FAMILIES["romance" if romance else "germanic"]:
+            wins[x], least[x] = 0.0, 0.0
         for k, (a, b) in enumerate(PAIRS, 1):
             if a in wins:
-                first, other = (a, b) if score[k] > 0 else (b, a)
-                wins[first] += 1 + min(1.0, float(abs(score[k]))) / 100
-                least[first] = min(least[first], float(sure[k]))
+                margin = abs(score[k])
+                first = a if score[k] > 0 else b
+                wins[first] += 1 + min(1.0, margin) / 100
+                if not least[first] or margin < least[first]:
+                    least[first] = margin
         best = max(wins, key=wins.get)
-        return best, float(min(1.0, max(0.0, sure[0] * least[best])))
+        sure = 1 / (1 + math.exp(-SLOPE * min(30.0, abs(score[0])))) / (1 + math.exp(-SLOPE * min(30.0, least[best])))
+        return best, min(1.0, max(0.0, sure))
 
 
 @lru_cache(maxsize=1)
@@ -127,7 +132,7 @@ def _judged(sentence: str) -> tuple[bool, str, float]:
     key = tuple(linemodel.tokens(sentence, m.vocabulary))
     known = _SEEN.get(key)
     if known is None:
-        p = m.of_tokens(list(key))
+        p = m.compute(list(key))
         words = [t for t in key if t.isalpha() and t != "N"]
         found = model().detect_words(words) if len(words) >= 3 else model().detect(sentence)
         known = (bool(max(p[pages._C], p[pages._T]) > 0.4) and sum(t.isalpha() for t in key) >= LEAST_WORDS, *found)
@@ -174,8 +179,10 @@ def page_languages(df: DataFrame, id_col: str, text_col: str, hint_col: str | No
     from quern.llm import pages, residue
 
     def rows(text: str, hint: str | None) -> list[tuple[str, float, bool]]:
-        counted = _counted(body_sentences(text), least)
-        if not counted or (len(text) < 3000 and residue.is_residue(text)):
+        found = body_sentences(text)
+        counted = _counted(found, least)
+        # a page of residue has hardly a sentence that reads as main text
+        if not counted or (len(found) < 5 and residue.is_residue(text)):
             return []
         own = re.split("[-_]", hint or "", maxsplit=1)[0].strip().lower()
         return [(x, c, list(counted) == [own]) for x, c in sorted(counted.items())]

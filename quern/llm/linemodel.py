@@ -78,15 +78,17 @@ class LineModel:
         key = tuple(toks)
         known = self.store.get(key)
         if known is None:
-            at = [i for f in features(toks) if (i := self.index.get(f)) is not None]
-            logits = self.weights[at].sum(0)
-            known = np.exp(logits - logits.max())
-            known /= known.sum()
             if len(self.store) > 300_000:
                 self.store.clear()
-            self.store[key] = known
+            known = self.store[key] = self.compute(toks)
         return known
 
+    def compute(self, toks: list[str]) -> np.ndarray:
+        index = self.index
+        logits = self.weights[[index[f] for f in features(toks) if f in index]].sum(0)
+        out = np.exp(logits - logits.max())
+        return out / out.sum()
+
 
 @lru_cache(maxsize=1)
 def model() -> LineModel:

@@ -7,6 +7,7 @@ maximal regions of positive sum; inside them, runs that the same scan finds with
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,9 @@ from quern.session import spread
 BOUND, LEAST = 4.0, 0.7
 _F, _B, _T, _P, _M, _C = range(6)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-_MARKS = re.compile(r"^[\s\-*•>»#\[\]!⚠✅\U0001f300-\U0001faff]+|[\s▾❤️✅\U0001f300-\U0001faff]+$")
+#: Marks before and after a line that its class doesn't hang on.
+_LEAD = " \t-*•>»#[]!⚠✅❤️📦🧪😀🏥🚚"
+_TAIL = " \t▾✅❤️📦🧪😀🏥🚚"
 
 
 def regions(scores: list[float]) -> list[tuple[int, int]]:
@@ -75,21 +78,25 @@ def _line_class(line: str) -> tuple[int, float]:
         for s in _SENTENCE.split(line):
             if len(s) > 30 and m.probabilities(s)[_C] > 0.6:
                 return _C, BOUND
-    bare = _MARKS.sub("", line)
+    bare = line.lstrip(_LEAD).rstrip(_TAIL)
     if not bare:
         return _C, 0.1
-    if len(line) <= 60 and is_name(line):
+    toks = linemodel.tokens(bare, m.vocabulary)
+    if len(line) <= 60 and _named(toks):
         return _T, 0.5
-    p = m.probabilities(bare)
-    score = float(np.log((p[_T] + p[_P] + p[_M] + p[_C] + 1e-3) / (p[_F] + p[_B] + 1e-3)))
+    p = m.of_tokens(toks)
+    score = math.log((p[_T] + p[_P] + p[_M] + p[_C] + 1e-3) / (p[_F] + p[_B] + 1e-3))
     return int(p.argmax()), max(-BOUND, min(BOUND, score))
 
 
+def _named(toks: list[str]) -> bool:
+    words = [t for t in toks if t.isalpha()]
+    return 0 < len(words) <= 3 and len(toks) <= 4 and all(t == "N" for t in words)
+
+
 def is_name(line: str) -> bool:
     """Whether a line is a bare name: up to three words that no text of the models knows."""
-    toks = linemodel.tokens(line, linemodel.model().vocabulary)
-    words = [t for t in toks if t.isalpha() or t == "N"]
-    return 0 < len(words) <= 3 and all(t == "N" for t in words) and len(toks) <= 4
+    return _named(linemodel.tokens(line, linemodel.model().vocabulary))
 
 
 def page_lines(text: str, repair: bool = True) -> tuple[list[str], list[int], list[bool]]:
@@ -137,8 +144,11 @@ def _map(df: DataFrame, id_col: str, text_col: str, fields: list[T.StructField],
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
         from pyspark.sql.pandas.types import to_arrow_type
 
+        gc.freeze()  # the models and stores hold no cycles; they needn't be walked again and again
         for batch in batches:
             which, out = [], []
             for k, args in enumerate(zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)):
