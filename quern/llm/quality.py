@@ -100,9 +100,9 @@ def _nearest(chars: np.ndarray, words: np.ndarray, shape: np.ndarray) -> str:
 def _form(line: str) -> str:
     """The form of one non-blank line: cells, bullet, prose (with a sentence end), bare, or odd (no plain words)."""
     signs = len(_CODE.findall(line))
-    if len(_BRACES.findall(line)) >= 4:
+    if signs >= 4 and len(_BRACES.findall(line)) >= 4:
         return "odd"
-    if line.count("|") >= 2 or line.count(";") >= 2 or line.count("\t") >= 1 and line.strip().count("\t") >= 1 or line.count('","') >= 1 or len(_COLUMNS.findall(line)) >= 2 or line.count(",") >= 2 and ", " not in line:
+    if line.count("|") >= 2 or line.count(";") >= 2 or line.count("\t") >= 1 and line.strip().count("\t") >= 1 or line.count('","') >= 1 or ("  " in line or "\t" in line) and len(_COLUMNS.findall(line)) >= 2 or line.count(",") >= 2 and ", " not in line:
         if signs - line.count("|") - line.count("%") <= 0.12 * len(line) and (not _STOP.search(line) or line.count(";") + line.count("|") + line.count("\t") >= 2) and len(line) < 400:
             return "cells"
     if _BULLET.match(line):
@@ -151,6 +151,25 @@ def _blocks(lines: list[str]) -> list[tuple[str, list[int]]]:
     return out
 
 
+_TOKENS: dict[tuple[str, bool], int] = {}
+
+
+def _token_kind(token: str, dense: bool) -> int:
+    """0 function word, 1 other, 2 capitalised, 3 number, 4 odd, 5 none; short mixed tokens are odd where they stand dense."""
+    bare = token.strip(".,;:!?()\"'“”„«»‘’…¿¡|-–—*•[]")
+    if not bare:
+        return 5 if token in ("|", "-", "–", "—", "*", "•", "[", "]") else 4
+    if bare.lower() in FUNCTION_WORDS:
+        return 0
+    if dense and not bare.isalpha() and _MIXED.match(bare):
+        return 4
+    if bare[0].isdigit() or bare[-1] == "%":
+        return 3
+    if len(bare) > 30 or _CODE.search(bare) or not any(c in "aeiouyAEIOUYáéíóúàèìòùâêôãõäöüœ" or ord(c) > 0x24F for c in bare):
+        return 4
+    return 2 if bare[0].isupper() else 1
+
+
 def assess(text: str) -> dict:
     """Statistics and verdict of one text; see statistics."""
     lines = text.split("\n")
@@ -183,24 +202,17 @@ def assess(text: str) -> dict:
         if form == "short":
             weight["prose"] += size
             continue
-        kinds = np.zeros(5)
+        kinds = [0.0] * 6
         toks = [t for r in rows for t in lines[r].split()]
+        dense = len(rows) * 4 < len(toks)
         for t in toks:
-            bare = t.strip(".,;:!?()\"'“”„«»‘’…¿¡|-–—*•[]")
-            if not bare:
-                kinds[4] += t not in ("|", "-", "–", "—", "*", "•", "[", "]")
-            elif bare.lower() in FUNCTION_WORDS:
-                kinds[0] += 1
-            elif _MIXED.match(bare) and not bare.isalpha() and len(rows) * 4 < len(toks):
-                kinds[4] += 1
-            elif bare[0].isdigit() or bare[-1] == "%":
-                kinds[3] += 1
-            elif len(bare) > 30 or _CODE.search(bare) or not any(c in "aeiouyAEIOUYáéíóúàèìòùâêôãõäöüœ" or ord(c) > 0x24F for c in bare):
-                kinds[4] += 1
-            elif bare[0].isupper():
-                kinds[2] += 1
-            else:
-                kinds[1] += 1
+            kind = _TOKENS.get((t, dense))
+            if kind is None:
+                if len(_TOKENS) > 300_000:
+                    _TOKENS.clear()
+                kind = _TOKENS[t, dense] = _token_kind(t, dense)
+            kinds[kind] += 1
+        kinds = np.array(kinds[:5])
         shape = np.zeros(6)
         plain = kinds[:3].sum()
         longest = max(len(lines[r]) for r in rows)
