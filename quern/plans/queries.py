@@ -185,6 +185,13 @@ _add("agg24_partial_crawls", lambda s, d: crawl.partial_crawls(_t(s, d, "crawl_m
     SELECT manifest_id, site_name, coalesce(crawl_limited, false) OR coalesce(len(page_errors), 0) > 0 AS is_partial, coalesce(regexp_matches(created_at_raw, '(Z|[+-]\\d\\d:?\\d\\d)$'), false) AS zoned,
       {_R('CAST(coalesce(pages_saved, 0) AS DOUBLE) / greatest(coalesce(page_requests_attempted, 0), 1)', 6)} AS yield FROM crawl_manifest""")
 _add("sta12_latest_manifests", lambda s, d: crawl.latest_manifest(_t(s, d, "crawl_manifest")).select("site_name", "manifest_id", "pages_saved", "crawls"), "SELECT site_name, max_by(manifest_id, (created_at, manifest_id)) AS manifest_id, max_by(pages_saved, (created_at, manifest_id)) AS pages_saved, count(*) AS crawls FROM crawl_manifest GROUP BY site_name")
+_add("agg17_evidence_counts", lambda s, d: crawl.partial_crawls(_t(s, d, "crawl_manifest")).agg(F.count_if(~F.col("is_partial")).alias("n_full"), F.count_if(F.col("is_partial")).alias("n_partial")), """
+    SELECT count(*) FILTER (WHERE NOT p) AS n_full, count(*) FILTER (WHERE p) AS n_partial FROM (SELECT coalesce(crawl_limited, false) OR coalesce(len(page_errors), 0) > 0 AS p FROM crawl_manifest)""")
+_add("agg19_plan_totals", lambda s, d: chunking.translation_plan(_packed(s, d), _t(s, d, "evidence")).agg(F.count("*").alias("sites"), F.sum("requests").alias("requests"), F.sum("characters").alias("characters")), f"""WITH RECURSIVE {_PACKED}, todo AS (SELECT site, chunk_no, sum(length) AS n FROM packed
+    WHERE NOT (replace(lower(coalesce(language_hint, '')), '_', '-') = 'en' OR starts_with(replace(lower(coalesce(language_hint, '')), '_', '-'), 'en-')) GROUP BY ALL)
+    SELECT count(DISTINCT site) AS sites, count(*) AS requests, CAST(sum(n) AS BIGINT) AS characters FROM todo""")
+_add("agg25_distinct_urls", lambda s, d: _t(s, d, "responses").where("urls IS NOT NULL").select("subject", "record_ord", F.size(F.array_distinct(F.transform("urls", text.strip))).alias("n_urls")), f"SELECT subject, record_ord, CAST(len(list_distinct(list_transform(urls, lambda x: {_STRIP('x')}))) AS INT) AS n_urls FROM responses WHERE urls IS NOT NULL")
+_add("dat2_crawl_ages", lambda s, d: _t(s, d, "crawl_manifest").where("created_at IS NOT NULL").select("manifest_id", F.timestamp_diff("HOUR", F.col("created_at"), F.lit("2025-06-01 00:00:00").cast("timestamp")).between(0, 24 * 120).alias("recent")), "SELECT manifest_id, epoch(TIMESTAMPTZ '2025-06-01 00:00:00+00' - created_at) / 3600 < 24 * 120 + 1 AND created_at <= TIMESTAMPTZ '2025-06-01 00:00:00+00' AS recent FROM crawl_manifest WHERE created_at IS NOT NULL")
 _add("hsh1_text_hashes", lambda s, d: _t(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha256")), "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
 _add("udf1_evaluated", lambda s, d: evaluate.evaluated(_t(s, d, "documents").select(F.coalesce("source", F.lit("")).alias("subject"), F.col("doc_id").alias("chunk_no"), "text"), evaluate.hashed_evaluator(_IDS[:4])).select("subject", "chunk_no", F.map_values("probabilities").alias("p")))
 _add("stream1_windowed_counts", lambda s, d: streams.windowed_counts(_t(s, d, "responses")), "SELECT date_trunc('day', recorded_at) AS start, subject, count(*) AS n FROM responses WHERE recorded_at IS NOT NULL GROUP BY ALL")
