@@ -133,6 +133,60 @@ def test_near_lines_go_together(spark):
     assert got[0] == "" and got[1].startswith("this page") and got[2] == rows[2][2]
 
 
+def test_a_line_near_to_a_line_that_joined_another_one(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    other = lambda n: " ".join(words[: 60 - n] + [f"z{chr(97 + k)}" for k in range(n)])
+    # by 5-word runs: 56 each; other(0) and other(5), other(5) and x are near, other(0) and x aren't
+    x = " ".join([f"y{chr(97 + k)}" for k in range(5)] + words[5:55] + [f"z{chr(97 + k)}" for k in range(5)])
+    texts = [other(0)] * 6 + [other(5)] * 5 + [x] * 4 + ["a wholly different line that stands on a few pages of the same host only"] * 4
+    df = spark.createDataFrame([(k, "http://a.test", t) for k, t in enumerate(texts)], "page_id long, url string, text string")
+    assert {(r.page_id, r.line_no) for r in lines.repeated_lines(df, least=8, near=True).collect()} == {(k, 1) for k in range(15)}
+
+
+def test_clusters_against_all_pairs(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(400)]
+    pool = []
+    for _ in range(6):
+        base = rng.choices(vocabulary, k=64)
+        for _ in range(14):
+            changed = list(rng.choice(pool[-3:]).split() if pool and rng.random() < 0.5 and len(pool[-1].split()) == 64 and pool[-1].split()[40:50] == base[40:50] else base)
+            for _ in range(rng.randint(0, 2)):
+                changed[rng.choice([rng.randrange(40), rng.randrange(50, 64)])] = rng.choice(vocabulary)
+            pool.append(" ".join(changed))
+    pool = sorted(set(pool))
+    df = spark.createDataFrame([(k * 10 + j, "http://a.test", x) for k, x in enumerate(pool) for j in range(rng.randint(1, 3))], "page_id long, url string, text string")
+    sets = lines.line_signatures(lines.page_lines(df, "page_id", "url", "text"))
+    rows = lines.line_clusters(sets.cache()).collect()
+    known = {(r.k1, r.k2): set(r.set) for r in sets.collect()}
+    assert len(rows) == len(pool) == len(known)
+    label = {k: k for k in known}
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a, s in known.items():
+        for c, t in known.items():
+            if len(s & t) >= 0.8 * len(s | t):
+                label[root(a)] = root(c)
+    want, got = defaultdict(set), defaultdict(set)
+    for k in known:
+        want[root(k)].add(k)
+    for r in rows:
+        got[r.c1, r.c2].add((r.k1, r.k2))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert max(map(len, got.values())) > 5
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(f"c{k:02}", f"c{k + 1:02}") for k in range(40)] + [("s50", f"s{k:02}") for k in range(30)] + [("x", "x"), ("p", "q"), ("q", "p")]
+    got = {r.id: r.label for r in lines.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {**{f"c{k:02}": "c00" for k in range(41)}, **{f"s{k:02}": "s00" for k in (*range(30), 50)}, "p": "p", "q": "p"}
+    assert lines.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 # tokens
 
 
