@@ -170,20 +170,24 @@ def _counted(found: list[tuple[str, str, float]], least: int) -> dict[str, float
     return {x: sum(c) / len(c) for x, c in sure.items() if len(c) >= least and x != "und"}
 
 
+def text_languages(text: str, least: int = 2) -> dict[str, float]:
+    """The mean confidence of each language of a text's main body; none for a page of residue."""
+    from quern.llm import residue
+
+    counted = _counted(body_sentences(text), least)
+    return {} if counted and residue.is_residue(text) else counted
+
+
 def page_languages(df: DataFrame, id_col: str, text_col: str, hint_col: str | None = None, least: int = 2) -> DataFrame:
     """Rows (id, lang, confidence, hint_is_right) for each language of each text's main body.
 
     A language needs at least `least` sentences outside quotation marks. A hint is right if its part before the first - or _, in
     any case, is the only language. Texts without such sentences, null and blank ones and pages of residue give no rows.
     """
-    from quern.llm import pages, residue
+    from quern.llm import pages
 
     def rows(text: str, hint: str | None) -> list[tuple[str, float, bool]]:
-        found = body_sentences(text)
-        counted = _counted(found, least)
-        # a page of residue has hardly a sentence that reads as main text
-        if not counted or (len(found) < 5 and residue.is_residue(text)):
-            return []
+        counted = text_languages(text, least)
         own = re.split("[-_]", hint or "", maxsplit=1)[0].strip().lower()
         return [(x, c, list(counted) == [own]) for x, c in sorted(counted.items())]
 

@@ -104,6 +104,13 @@ def test_languages(spark):
     assert [(p.lang, p.n_sentences) for p in parts] == [("en", 2), ("pt", 2)]
 
 
+def test_every_counted_page_is_tested_for_residue(monkeypatch):
+    text = "\n".join(["The night shift compares planned and real consumption.", "The audit trail shows what each site still holds."] * 4)
+    assert len(language.body_sentences(text)) >= 5 and set(language.text_languages(text)) == {"en"}
+    monkeypatch.setattr(residue, "is_residue", lambda _: True)
+    assert language.text_languages(text) == {}
+
+
 PROSE = "The night shift compares planned and real consumption in blood banks. The audit trail shows what each site still holds."
 KINDS = [
     (PROSE, "prose"), ("\n".join(PROSE[i : i + 40].strip() for i in range(0, len(PROSE), 40)), "prose"), ("- one box\n- two boxes of tea\n- three labels\n- four", "list"),
