@@ -91,6 +91,14 @@ def test_residue(spark):
     assert residue.found(df.limit(0), "id", "text").count() == 0
 
 
+def test_residue_is_taken_out_of_garbled_and_long_lines(spark):
+    message = "O servidor não respondeu a tempo."
+    own = "The night shift compares planned and real consumption in blood banks and laboratories. The audit trail shows what each site still holds at the main depot."
+    df = table(spark, f"{message.encode().decode('cp1252')}\n{own}", f"{own} Please enable JavaScript to continue. {own}")
+    left = {r.id: r.text for r in residue.without_residue(df, "id", "text").collect()}
+    assert left == {0: own, 1: f"{own} {own}"}
+
+
 def test_languages(spark):
     english = "The night shift compares planned and real consumption. The audit trail shows what each site still holds."
     mixed = english + "\n" + CLEAN["pt"]
