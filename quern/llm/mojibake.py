@@ -14,7 +14,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +31,10 @@ STEPS = (("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"), ("cp
 TWICE = (("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"))
 #: Bytes a chain costs: its first step to another single-byte encoding or to UTF-8, whose bytes are seldom valid by chance, and each further step.
 CHAIN_COST, UTF8_COST, STEP_COST = 2, 0, 1
+#: Compression levels: of all descriptions, and of those of UTF-8, which is seldom valid by chance; the lower misses matches at a text's start.
+LEVEL, FINE = 3, 12
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Signs that a clean text may hold beside its words.
-_SIGNS = str.maketrans(dict.fromkeys("\xa0–—’‘“”„«»…•·©®°º€£¿¡▾⚠✅❤️📦🧪😀🏥🚚§×№≈█⚕ ​‍ ﻿", " "))
-_QUOTED = re.compile(r"“[^“”„«»]{1,40}[”“]|„[^“”„«»]{1,40}[“”]|«[^“”«»]{1,40}»|\"[^\"]{1,40}\"")
+_QUOTED = re.compile(r"“[^“”„«»]+[”“]|„[^“”„«»]+[“”]|«[^“”«»]+»|\"[^\"]+\"")
 LOST = "�"
 
 
@@ -41,28 +43,30 @@ def _unusual(e: UnicodeEncodeError) -> tuple[str, int]:
     return "".join("?" if ord(c) > 0xFFFF else "??" for c in e.object[e.start : e.end]), e.end
 
 
+def _controls(e: UnicodeEncodeError) -> tuple[bytes, int]:
+    """Bytes that a code page leaves open are read as control signs."""
+    part = e.object[e.start : e.end]
+    if any(not 0x80 <= ord(c) <= 0x9F for c in part):
+        raise e
+    return part.encode("latin-1"), e.end
+
+
 codecs.register_error("quern-unusual", _unusual)
+codecs.register_error("quern-controls", _controls)
+#: Signs that a word may hold beside its letters: marks of Latin text, General Punctuation, currency, arrows, shapes, emoji and
+#: joiners. Box drawing, mathematics and the other signs of Latin-1 stand inside a word only where it is garbled.
+_USUAL = re.compile(r"[\xa0¡«»¿·©®°º§×€£ªµ\u200b-\u205e\ufeff\ufe0f\u20a0-\u20bf\u2116\u2190-\u21ff\u25a0-\u27bf\U0001f000-\U0001faff\u0300-\u036f]")
+_PIECES = re.compile(r"[^\W\d_]+|[^\x00-\x7f\w]")
 _GAPPED = re.compile(f"[^\\W\\d_]*{LOST}[^\\W\\d_{LOST}]*(?:{LOST}[^\\W\\d_{LOST}]*)*")
 _PARTS = re.compile(r"(?<=[.!?…]) (?=\S)")
 
 
 def _undo(text: str, read_as: str, written_as: str) -> str | None:
     """text as it was before bytes written in one encoding were read in another; None if it can't have come that way."""
-    if read_as in ("cp1252", "cp1250", "cp1251") and written_as == "utf-8":
-        raw = bytearray()
-        for ch in text:
-            try:
-                raw += ch.encode(read_as)
-            except UnicodeEncodeError:
-                if not 0x80 <= ord(ch) <= 0x9F:
-                    return None
-                raw.append(ord(ch))
-        data = bytes(raw)
-    else:
-        try:
-            data = text.encode(read_as)
-        except UnicodeEncodeError:
-            return None
+    try:
+        data = text.encode(read_as, "quern-controls" if written_as == "utf-8" and read_as in ("cp1252", "cp1250", "cp1251") else "strict")
+    except UnicodeEncodeError:
+        return None
     try:
         return data.decode(written_as)
     except UnicodeDecodeError:
@@ -90,15 +94,18 @@ class Repairer:
     def __init__(self, folder: Path = MODELS) -> None:
         import zstandard
 
-        labelled = "\n".join(x for x in (folder / "lines.txt").read_text(encoding="utf-8").split("\n") if not x.startswith("#"))
-        self.coders, self.known = [], set()
+        labelled = "\n".join(x for x in (folder / "lines.txt").read_text(encoding="utf-8").split("\n") if x[:1] not in "#D")
+        self.coders, self.fine, self.known = [], [], set()
         for language in LANGUAGES:
             prose = (folder / f"prose_{language}.txt").read_text(encoding="utf-8")
-            data = zstandard.ZstdCompressionDict((labelled + prose).encode("cp1252", "quern-unusual"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0)
-            data.precompute_compress(compression_params=params)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=data, compression_params=params))
+            data = (labelled + prose).encode("cp1252", "quern-unusual")
+            for level, coders in ((LEVEL, self.coders), (FINE, self.fine)):
+                params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=0, write_checksum=0, write_dict_id=0)
+                own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                own.precompute_compress(compression_params=params)
+                coders.append(zstandard.ZstdCompressor(dict_data=own, compression_params=params))
             self.known.update(w for text in (labelled, prose) for w in _LETTERS.findall(text.lower()) if not w.isascii())
+        self.known.update((folder / "words.txt").read_text(encoding="utf-8").split())
         self.known -= {w for w in self.known if len(w) == 1 and w not in "àáéèêíìóòúùoaõ"}
         gaps: dict[str, set[str]] = {}
         for w in self.known:
@@ -107,26 +114,49 @@ class Repairer:
         self.tokens: dict[str, bool] = {}
         self.lines: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {}
 
+    def strange(self, token: str) -> bool:
+        """Whether a token has a non-ASCII word that is in no dictionary, or a sign that doesn't go with its letters."""
+        known = self.tokens.get(token)
+        if known is None:
+            lower = _USUAL.sub(" ", token.lower())
+            lettered = any(c.isalpha() for c in token)
+            known = any(not w.isascii() and (w not in self.known if w[0].isalpha() else lettered or w == LOST or w < "\xa0") for w in _PIECES.findall(lower))
+            if len(self.tokens) > 200_000:
+                self.tokens.clear()
+            self.tokens[token] = known
+        return known
+
     def unknown(self, text: str) -> int:
-        """How many of the text's words hold a non-ASCII word that is in no dictionary, or a sign outside the usual ones."""
-        count = 0
-        for token in [t for t in text.split() if not t.isascii()]:
-            is_known = self.tokens.get(token)
-            if is_known is None:
-                rest = token.translate(_SIGNS)
-                is_known = all(w.isascii() or w in self.known for w in re.findall(r"[^\W\d_]+|[^\x00-\x7f\w]", rest.lower()))
-                if len(self.tokens) > 200_000:
-                    self.tokens.clear()
-                self.tokens[token] = is_known
-            count += not is_known
-        return count
+        """How many of the text's words are strange."""
+        return sum(self.strange(t) for t in text.split() if not t.isascii())
 
     def suspect(self, text: str) -> bool:
-        return self.unknown(text) > 0
-
-    def length(self, text: str) -> int:
+        return any(self.strange(t) for t in text.split() if not t.isascii())
+
+    def suspects(self, texts: pa.Array) -> np.ndarray:
+        """Which of the texts hold a strange word; each distinct word is looked at once."""
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        plain = np.asarray(pc.string_is_ascii(coded.dictionary))
+        marked = np.zeros(len(plain), bool)
+        at = np.flatnonzero(~plain)
+        marked[at] = [self.strange(w) for w in coded.dictionary.take(pa.array(at)).to_pylist()]
+        of = np.repeat(np.arange(len(texts)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+        return np.bincount(of[marked[np.asarray(coded.indices)]], minlength=len(texts)) > 0
+
+    def restored(self, texts: pa.Array) -> pa.Array:
+        """The texts as repair gives them; only those with a strange word are touched."""
+        at = np.flatnonzero(self.suspects(texts))
+        if not len(at):
+            return texts
+        out = texts.to_pylist()
+        for k in at.tolist():
+            out[k] = self.repair(out[k])[0]
+        return pa.array(out, pa.string())
+
+    def length(self, text: str, fine: bool = False) -> int:
         data = text.encode("cp1252", "quern-unusual")  # one byte a sign, so that no sign is dear for its encoding alone
-        return min(len(c.compress(data)) for c in self.coders) + 4 * text.count(LOST)
+        return min(len(c.compress(data)) for c in (*self.coders, *(self.fine if fine else ()))) + 4 * text.count(LOST)
 
     def best(self, line: str) -> tuple[str, tuple[tuple[str, str], ...]]:
         """(restored line, chain); the chain is empty if the line stays."""
@@ -154,9 +184,9 @@ class Repairer:
             for chain, text in chains:
                 if any(0x80 <= ord(c) <= 0x9F for c in text):
                     continue
-                cost = self.length(text) + (UTF8_COST if first[1] == "utf-8" else CHAIN_COST) + STEP_COST * (len(chain) - 1)
-                # another single-byte reading must also leave fewer unknown words
-                if cost < least and (chain[-1][1] == "utf-8" or self.unknown(text) < self.unknown(short)):
+                cost = self.length(text, chain[-1][1] == "utf-8") + (UTF8_COST if first[1] == "utf-8" else CHAIN_COST) + STEP_COST * (len(chain) - 1)
+                # a single-byte reading, and one whose description is no shorter, must also leave fewer strange words
+                if cost < least and chain[-1][1] == "utf-8" or (cost < least or cost == least and not best) and self.unknown(text) < self.unknown(short):
                     best, least = chain, cost
         fixed = line
         for step in best:
@@ -205,7 +235,7 @@ class Repairer:
                 fixed = out[k]
                 for step in chain:
                     fixed = None if fixed is None else _undo_parts(fixed, step)
-                if fixed is not None and fixed != out[k] and self.length(fixed) <= self.length(out[k]):
+                if fixed is not None and fixed != out[k] and (self.length(fixed) <= self.length(out[k]) or self.unknown(fixed) < self.unknown(out[k])):
                     out[k] = fixed
                     changed += 1
                     break
@@ -239,11 +269,12 @@ def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("text", T.StringType()), T.StructField("changed_lines", T.IntegerType()), T.StructField("lost", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fix = repairer().repair
+        own = repairer()
         for batch in batches:
-            rows = [(None, 0, 0) if t is None else fix(t) for t in batch.column(1).to_pylist()]
-            text, changed, lost = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(changed, pa.int32()), pa.array(lost, pa.int32())], schema.names)
+            text, changed, lost = batch.column(1).to_pylist(), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+            for k in np.flatnonzero(own.suspects(batch.column(1))).tolist():
+                text[k], changed[k], lost[k] = own.repair(text[k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(changed), pa.array(lost)], schema.names)
 
     return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

@@ -1,7 +1,7 @@
 """Fits the models of this subpackage: python -m quern.llm.train FOLDER_OF_TABLES.
 
 It reads a bounded sample of rows, SAMPLE documents and SAMPLE pages (the smallest ids first), and the labelled lines in
-models/lines.txt, and writes models/lines.npz, models/lang.npz and models/prose_XX.txt.
+models/lines.txt, and writes models/lines.npz, models/lang.npz, models/words.txt (non-ASCII words) and models/prose_XX.txt.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ import numpy as np
 from quern.llm import language, linemodel
 
 #: Rows of each table that the models are fitted on at most.
-SAMPLE = 8_000
+SAMPLE = 16_000
+#: Sources or sites that a word must stand in to be no name.
+SOURCES = 8
 #: Bytes of prose in a language's compression dictionary.
 PROSE_BYTES = 24_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -26,25 +28,56 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _ODD = re.compile("[^\x00-~àáâãäçèéêëìíîïñòóôõöùúûüßœÀÁÂÃÄÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜŒ«»“”„’–€£°ºª¿¡…]|Ã[^A-ZÇÕ]|Â[^A-ZÇÕ]|â€")
 
 
-def labelled() -> list[tuple[str, str]]:
-    """(class, line) of the labelled lines, with the lines the grammar of messages gives and those that go with a page's marks."""
-    out, grammar = [], defaultdict(dict)
+#: Grammatical combinations taken of each language, at most.
+GRAMMAR = 1_500
+#: Words that stand with the public dummy copy in a sentence of the sample, so many times and in so much of all their sentences, are dummy words too.
+DUMMY_TIMES, DUMMY_SHARE, ROUNDS = 3, 0.5, 4
+
+
+def dummy_words(texts) -> set[str]:  # noqa: ANN001
+    """The words of the public dummy copy, and those that make up sentences of the sample together with it."""
+    rows = [x.split("\t")[1].split() for x in (linemodel.MODELS / "lines.txt").read_text(encoding="utf-8").split("\n") if x.startswith("D\t")]
+    words = {w for r in rows for w in r if len(w) > 3}
+    for _ in range(ROUNDS):
+        beside: Counter = Counter()
+        total: Counter = Counter()
+        for t in texts:
+            for s in [s for line in t.split("\n") for s in _SENTENCE.split(line)]:
+                own = re.findall("[a-z]+", s.lower())
+                total.update(set(own))
+                if len(own) > 5 and sum(w in words for w in own) >= 0.12 * len(own):
+                    beside.update(set(own))
+        words |= {w for w, c in beside.items() if c >= DUMMY_TIMES and c >= DUMMY_SHARE * total[w] and len(w) > 3}
+    return words
+
+
+def labelled(dummy: set[str], without: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
+    """(class, line) of the labelled lines, with the lines the grammar of messages gives and those that go with a page's marks.
+
+    Phrases in `without` are left out, for tests on unseen phrases.
+    """
+    out: list[tuple[str, str]] = []
+    grammar: dict = defaultdict(lambda: defaultdict(list))
     for row in (linemodel.MODELS / "lines.txt").read_text(encoding="utf-8").split("\n"):
         if not row or row.startswith("#"):
             continue
         kind, *rest = row.split("\t")
+        phrases = [x for x in rest[-1].split(" ¦ ") if x not in without]
         if kind in linemodel.CLASSES and len(rest) == 1:
-            out += [(kind, x) for x in rest[0].split(" ¦ ")]
+            out += [(kind, x) for x in phrases]
         elif len(rest) == 2:
-            grammar[rest[0]][kind] = rest[1].split(" ¦ ")
-    rng = random.Random(5)
+            grammar[rest[0]][kind] += phrases
+    rng, n_own = random.Random(5), len(out)
     for g in grammar.values():
+        own = []
         for s, v in product(g["S"], g["V"]):
-            out.append(("M", f"{s} {v}"))
-            out += [("M", f"{s} {v}{rng.choice(['.', '!', ' –', ':'])} {a}{rng.choice(['.', '', '!', ' :('])}") for a in g["A"]]
+            own.append(f"{s} {v}")
+            own += [f"{s} {v}{rng.choice(['.', '!', ' –', ':'])} {a}{rng.choice(['.', '', '!', ' :('])}" for a in rng.sample(g["A"], min(3, len(g["A"])))]
         for j, k in product(g["J"], g["K"]):
-            out += [("M", f"{j} {k}{rng.choice([' –', '', ','])} {x}.") for x in g["L"]]
-        out += [("M", x) for x in g["A"]]
+            own.append(f"{j} {k}")
+            own += [f"{j} {k}{rng.choice([' –', '', ','])} {x}." for x in g["L"]]
+        out += [("M", x) for x in rng.sample(own, min(GRAMMAR, len(own))) + g["A"]]
+    out += 5 * out[:n_own]
     titles = [x for c, x in out if c == "T"]
     items = [x for c, x in out if c == "F" and len(x.split()) <= 3 and x[-1] not in "?!.*" and "NAME" not in x and "0" not in x]
     homes = ["Home > Insights", "Início > Notícias", "Inicio > Noticias", "Accueil > Actualités", "Startseite > Aktuelles", "Pagina iniziale > Notizie"]
@@ -53,18 +86,19 @@ def labelled() -> list[tuple[str, str]]:
         out += [("T", f"{t} NAME"), ("T", t)]
     for _ in range(2500):
         k = rng.randint(1, 9)
-        out.append(("F", rng.choice([" | ", " / ", " · ", " > ", "  ", " ", " ▾ "]).join(rng.sample(items, k))))
+        out.append(("F", rng.choice([" | ", " / ", " · ", " > ", "  ", " "]).join(rng.sample(items, k))))
     for x in items:
-        out += [("F", b + x + e) for b, e in (("• ", ""), ("> ", ""), ("» ", ""), ("", " ▾"), ("- ", ""), ("", ""))] * 2
+        out += [("F", b + x) for b in ("• ", "> ", "» ", "", "- ", "", "", "")] * 2
     for x in [x for c, x in out if c == "C"]:
         out += [("C", b + x) for b in ("- ", "* ", "• ", "0) ", "NAME – ", "")]
     for _ in range(400):
-        out.append(("M", " ".join(rng.choices(sorted(linemodel.DUMMY), k=rng.randint(4, 30))) + "."))
+        out.append(("M", " ".join(rng.choices(sorted(dummy), k=rng.randint(4, 30))) + "."))
     for _ in range(300):
         out.append(("C", rng.choice([" | ", "; ", "  "]).join(rng.choices(["NAME", "NAME NAME", "0", "0.0", "-"], k=rng.randint(3, 6)))))
     signs = str.maketrans(dict.fromkeys("–—·©’…", " "))
     out += [(c, x.translate(signs)) for c, x in out if c in "FPBT" and x.translate(signs) != x]
-    out += [("M", s) for c, x in out if c == "M" for s in _SENTENCE.split(x) if len(s.split()) > 2 and s != x]
+    # a line is classified as a whole and by its parts
+    out += [(c, s) for c, x in out if c in "MFPB" for s in _SENTENCE.split(x) if len(s.split()) > 2 and s != x]
     marks = ["* ", "### ", "[!] ", "! ", ""]
     out += [("M", rng.choice(marks) + x + rng.choice(["", "...", " :(", " #0", "!!"])) for c, x in out if c == "M"]
     return out
@@ -93,13 +127,12 @@ def softmax_fit(rows: list[list[int]], labels: np.ndarray, n_features: int, n_cl
     return w
 
 
-def fit_lines(prose: list[str], words: Counter) -> None:
-    data = labelled() + [("C", s) for s in prose]
+def fit_lines(prose: list[str], words: Counter, dummy: set[str], folder: Path, without: frozenset[str] = frozenset()) -> None:
+    data = labelled(dummy, without) + [("C", s) for s in prose]
     vocabulary = {t for _, x in data[: len(data) - len(prose)] for t in re.findall("[a-z]+", linemodel.fold(x.replace("NAME", "")))}
-    vocabulary |= {w for w, c in words.items() if c >= 25}
+    vocabulary |= {w for w, c in words.items() if c >= 25} | dummy
     vocabulary = frozenset(vocabulary)
     data = [(c, re.sub(r"NAME(?![a-z])", "Qq", x)) for c, x in data]
-    linemodel._WORDS.clear()
     feats = [linemodel.features(linemodel.tokens(x, vocabulary)) for _, x in data]
     counts = Counter(f for fs in feats for f in set(fs))
     index = {f: k for k, f in enumerate(sorted(counts))}
@@ -110,7 +143,7 @@ def fit_lines(prose: list[str], words: Counter) -> None:
     w = softmax_fit(rows, labels, len(index), len(linemodel.CLASSES), weight)
     kept = np.flatnonzero(np.abs(w).max(1) > 0.02)
     names = np.array(sorted(index))[kept]
-    np.savez_compressed(linemodel.MODELS / "lines.npz", vocabulary=np.array(sorted(vocabulary)), features=names, weights=w[kept].astype(np.float16))
+    np.savez_compressed(folder / "lines.npz", vocabulary=np.array(sorted(vocabulary)), features=names, weights=w[kept].astype(np.float16))
     print("lines", len(data), "features", len(kept))
 
 
@@ -132,7 +165,7 @@ def hinge_fit(rows: list[np.ndarray], sign: np.ndarray, steps: int = 60) -> np.n
     return total / max(1, steps // 15)
 
 
-def fit_language(sentences: list[tuple[str, str]]) -> None:
+def fit_language(sentences: list[tuple[str, str]], held: list[tuple[str, str]]) -> None:
     rows = []
     for _, s in sentences:
         bag: Counter = Counter()
@@ -147,9 +180,22 @@ def fit_language(sentences: list[tuple[str, str]]) -> None:
     for a, b in language.PAIRS:
         keep = np.flatnonzero((langs == a) | (langs == b))
         columns.append(hinge_fit([rows[i] for i in keep], np.where(langs[keep] == a, 1, -1)))
-    np.savez_compressed(language.MODELS / "lang.npz", weights=np.stack(columns, 1).astype(np.float16))
+    weights = np.stack(columns, 1).astype(np.float16)
+    # slopes that turn margins to confidence, and its errors, from sentences the weights weren't fitted on
+    held = [(x, s) for x, s in held if language.WORD.findall(linemodel.fold(s))]
+    np.savez_compressed(language.MODELS / "lang.npz", weights=weights)
     m = language.LanguageModel()
-    print("language, on its own rows:", np.mean([m.detect(s)[0] == x for x, s in sentences[:4000]]))
+    scores = np.stack([m.score(language.WORD.findall(linemodel.fold(s))) for _, s in held])
+    truth = np.array([language.LANGUAGES.index(x) for x, _ in held])
+    best = None
+    for slopes in product((1.0, 2.0, 4.0, 8.0, 16.0, 32.0), repeat=2):
+        m.slopes = list(slopes)
+        lang, sure = m.decide(scores)
+        loss = -np.where(lang == truth, np.log(np.maximum(sure, 1e-6)), np.log(np.maximum(1 - sure, 1e-6))).mean()
+        if best is None or loss < best[0]:
+            best = (loss, slopes, (lang == truth).mean(), abs(sure.mean() - (lang == truth).mean()))
+    np.savez_compressed(language.MODELS / "lang.npz", weights=weights, slopes=np.array(best[1]))
+    print("language, on", len(held), "held-out sentences: log loss, slopes, right, |confidence - right|:", best)
 
 
 def usual(texts) -> set[str]:  # noqa: ANN001
@@ -162,43 +208,80 @@ def usual(texts) -> set[str]:  # noqa: ANN001
     return {w for w, c in counts.items() if c >= 5 and c >= 0.2 * most[re.sub(r"[^\x00-\x7f]", "?", w)]}
 
 
-def main(folder: str) -> None:
+def sample(folder: str) -> tuple:
+    """(documents, pages) of the smallest ids, SAMPLE rows of each at most."""
     import pyarrow.parquet as pq
 
-    documents = pq.read_table(Path(folder) / "documents.parquet", columns=["doc_id", "text", "lang"]).to_pandas().sort_values("doc_id").head(SAMPLE).dropna()
-    pages = pq.read_table(Path(folder) / "evidence.parquet", columns=["page_id", "text"]).to_pandas().sort_values("page_id").head(SAMPLE).dropna()
+    documents = pq.read_table(Path(folder) / "documents.parquet", columns=["doc_id", "text", "lang", "source"]).to_pandas().sort_values("doc_id").head(SAMPLE)
+    pages = pq.read_table(Path(folder) / "evidence.parquet", columns=["page_id", "text", "site"]).to_pandas().sort_values("page_id").head(SAMPLE)
+    return documents.dropna(subset=["text"]), pages.dropna(subset=["text"])
+
+
+def clean_sentences(text: str) -> list[str]:
+    return [x for x in _SENTENCE.split(" ".join(text.split())) if 30 < len(x) < 400 and x[-1] in ".!?" and not _ODD.search(x)]
+
+
+def parts_of_sample(documents, pages) -> dict:  # noqa: ANN001
+    """What the models are fitted on: sentences by language, paragraphs, word counts, prose, dummy words."""
     rng = random.Random(3)
+    dummy = dummy_words(pages.text)
     by_lang: dict[str, list[str]] = defaultdict(list)
-    function = {"en": "the", "pt": "de", "es": "de", "fr": "de", "de": "der", "it": "di"}
-    for text, lang in zip(documents.text, documents.lang, strict=True):
-        for s in language.sentences(" ".join(text.split())):
-            if 30 < len(s) < 300 and not _ODD.search(s) and s[-1] in ".!?" and s[0].isupper() and "�" not in s and lang in function:
-                by_lang[lang].append(s)
-    raw: dict[str, list[str]] = defaultdict(list)
     for text, lang in zip(documents.text, documents.lang, strict=True):
-        raw[lang] += [x for x in _SENTENCE.split(" ".join(text.split())) if 30 < len(x) < 400 and x[-1] in ".!?" and not _ODD.search(x)]
+        if lang in language.LANGUAGES:
+            by_lang[lang] += [s for s in clean_sentences(text) if len(s) < 300 and s[0].isupper() and "�" not in s and len(s.split()) >= 4]
     words = Counter(w for ss in by_lang.values() for s in ss for w in re.findall("[a-z]+", linemodel.fold(s)))
-    paragraphs = [p for t in pages.text for p in t.split("\n") if len(p) > 150 and p.count(". ") > 1 and not _ODD.search(p)]
+    # nouns of one language are in capitals, so a word is a name if it is so in all the others
+    plain = Counter(w for x, ss in by_lang.items() if x != "de" for s in ss for w in re.findall(r"(?<= )\w+", s) if w.islower())
+    capital = Counter(linemodel.fold(w) for x, ss in by_lang.items() if x != "de" for s in ss for w in re.findall(r"(?<= )\w+", s) if w[0].isupper())
+    names = {w for w, c in capital.items() if c >= 3 and not plain[w]}
+    # names stand in few sources or sites
+    spread: dict[str, set] = defaultdict(set)
+    for text, source in [*zip(documents.text, documents.source, strict=True), *zip(pages.text, pages.site, strict=True)]:
+        for w in set(re.findall("[a-z]+", linemodel.fold(text))):
+            spread[w].add(source)
+    # paragraphs of pages in several sentences, without slots, messages' phrases and dummy copy
+    phrases = {x for row in (linemodel.MODELS / "lines.txt").read_text(encoding="utf-8").split("\n") if row[:1] in "MFBP" for x in row.split("\t")[-1].split(" ¦ ") if len(x) > 15}
+    paragraphs = [p for t in pages.text for p in t.split("\n") if len(p) > 150 and p.count(". ") > 1 and not _ODD.search(p) and not linemodel.SLOT.search(p)]
+    paragraphs = [p for p in paragraphs if not any(x in p for x in phrases) and sum(w in dummy for w in p.lower().split()) < 0.1 * len(p.split())]
     words.update(w for p in paragraphs for w in re.findall("[a-z]+", linemodel.fold(p)))
+    words = Counter({w: c for w, c in words.items() if len(spread[w]) >= SOURCES and w not in names})
     prose = rng.sample(paragraphs, min(3000, len(paragraphs)))
     prose = [s for p in prose for s in rng.sample(_SENTENCE.split(p), 2)] + prose[:600]
     for ss in by_lang.values():
         prose += rng.sample(ss, min(600, len(ss)))
-    fit_lines(prose, words)
-    sample = [(x, s) for x, ss in by_lang.items() for s in rng.sample(ss, min(2500, len(ss)))]
-    rng.shuffle(sample)
-    fit_language(sample)
-    common = {w for w, c in words.items() if c >= 25}
+    return {"by_lang": by_lang, "words": words, "paragraphs": paragraphs, "prose": prose, "dummy": dummy}
+
+
+def main(folder: str) -> None:
+    documents, pages = sample(folder)
+    own = parts_of_sample(documents, pages)
+    by_lang, words, paragraphs = own["by_lang"], own["words"], own["paragraphs"]
+    fit_lines(own["prose"], words, own["dummy"], linemodel.MODELS)
+    rng = random.Random(4)
+    rows = [(x, s) for x, ss in by_lang.items() for s in rng.sample(ss, min(3500, len(ss)))]
+    rng.shuffle(rows)
+    cut = len(rows) * 5 // 7
+    seen = {s for _, s in rows[:cut]}
+    fit_language(rows[:cut], [r for r in rows[cut:] if r[1] not in seen])
+    common = {w for w, c in words.items() if c >= 8}
+    raw: dict[str, list[str]] = defaultdict(list)
+    for text, lang in zip(documents.text, documents.lang, strict=True):
+        if lang in language.LANGUAGES:
+            raw[lang] += clean_sentences(text)
     clean = set().union(usual(paragraphs), *(usual(ss) for ss in raw.values()))
-    for lang in by_lang:
-        ss = raw[lang]
+    (linemodel.MODELS / "words.txt").write_text("\n".join(sorted(clean)), encoding="utf-8")
+    print("non-ASCII words", len(clean))
+    for lang in sorted(by_lang):
         seen: set[str] = set()
         out, size = [], 0
-        for s in ss + [x for p in paragraphs for x in _SENTENCE.split(p) if language.model().detect(x)[0] == lang]:
-            own = language.WORD.findall(s.lower())
-            if any(not w.isascii() and w not in clean for w in own):
+        for s in raw[lang] + [x for p in paragraphs for x in _SENTENCE.split(p) if language.model().detect(x)[0] == lang]:
+            s = re.sub(r"^\W+", "", s)
+            words_of = language.WORD.findall(s.lower())
+            if linemodel.SLOT.search(s) or any(not w.isascii() and w not in clean for w in words_of):
                 continue
-            new = {w for w in own if linemodel.fold(w) in common} - seen
+            # what adds a word, or a non-ASCII sign in a new place
+            new = {w for w in words_of if linemodel.fold(w) in common} | {re.sub(r"[0-9]+", "0", re.sub("[^\\W\\d_]{4,}", "x", w)) for w in s.split() if not w.isascii()}
+            new -= seen
             if new and size + len(s.encode()) < PROSE_BYTES:
                 out.append(s)
                 seen |= new
