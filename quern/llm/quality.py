@@ -1,234 +1,239 @@
 """Problem 10: statistics of a text and the verdict whether it is prose, list, table or junk.
 
-Lines form blocks (wrapped paragraphs, list entries, rows of cells, the rest). Of each block the distribution of character
-classes, of word kinds with the function words apart, and of line shapes is held against structural profiles by
-Jensen-Shannon divergence; the nearest profile gives the block's kind. A text is what fills more than half of its non-white signs.
+Of each line, with its neighbours, the distributions of character classes, of word kinds, of function words
+by language, of repeated words and of line shapes are held against profiles by Jensen-Shannon divergence; the nearest profile
+gives the line's kind. The profiles, those of prose one or more for each language, are fitted on a labelled sample (train_quality.py); no
+rule decides beside them. A text is what fills more than half of its non-white signs.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quern.llm import pages
 
+MODELS = Path(__file__).parent / "models"
 KINDS = ("prose", "list", "table", "junk")
 #: Function words of the six languages.
-FUNCTION_WORDS = frozenset(
-    """the of and to in a is that for with on at by from as it its are was were be this which or an not no into than before after between since because while unless even so each who what every more
-    de la le les des et en un une que qui dans pour par sur avec au aux du ne pas plus est ce cette son sa se il elle on ou où dès sans entre pendant afin puisque bien si l d n
-    el los las y del al con para por su sus lo una como más ya no sin entre hasta durante cada quien cuando aunque porque desde sobre
-    o os as e do da dos das em no na nos nas um uma com ao à aos às não mais pelo pela se quem cada já foi sem até durante enquanto porque embora onde seu sua
-    der die das und ist mit den dem von zu im auf für in ein eine einen einer nicht auch wenn bei aus sich wer welche am zum zur vor nach wird wurde hat damit obwohl weil während je an als über
-    di il i gli lo dei delle della del nel nella nelle negli al alla alle con per che chi non si ha è da dal dalla dai sulla sul su ogni tra più anche un una benché mentre perché poiché""".split()
-)
-_BULLET = re.compile(r"\s*(?:[-–—*•·▪◦‣○●►+»>]|\[[ xX✓]?\]|\(?(?:\d{1,3}|[a-zA-Z]{1,2}|[ivxIVX]{1,5})[.)]|#\d+|No\.? ?\d+)\s+\S")
-_END = re.compile(r"[.!?…:;]['\"”’»)\]]*$")
-_STOP = re.compile(r"[.!?…]['\"”’»)\]]*(?:\s|$)")
-_COLUMNS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
-_CODE = re.compile(r"[{}<>\[\]=\\^~%@$#&*_/|+]")
-_BRACES = re.compile(r"[{}=\[\]]")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[a-zA-Z])[0-9a-zA-Z]+$|[0-9a-f]{2}$|[0-9a-f]{7,}$")
-_WORD = re.compile(r"[^\W\d_]+")
-#: Character classes: 0 white, 1 vowel, 2 consonant, 3 capital, 4 digit, 5 sentence sign, 6 cell sign, 7 code sign, 8 other letter, 9 rest.
+FUNCTION_WORDS = {
+    "en": frozenset("the of and to in a is that for with on at by from as it its are was were be this which or an not no into than before after between since because while unless even so each who what every more".split()),
+    "fr": frozenset("de la le les des et en un une que qui dans pour par sur avec au aux du ne pas plus est ce cette son sa se il elle on ou où dès sans entre pendant afin puisque bien si l d n".split()),
+    "es": frozenset("el los las y del al con para por su sus lo una como más ya no sin entre hasta durante cada quien cuando aunque porque desde sobre".split()),
+    "pt": frozenset("o os as e do da dos das em no na nos nas um uma com ao à aos às não mais pelo pela se quem cada já foi sem até durante enquanto porque embora onde seu sua".split()),
+    "de": frozenset("der die das und ist mit den dem von zu im auf für in ein eine einen einer nicht auch wenn bei aus sich wer welche am zum zur vor nach wird wurde hat damit obwohl weil während je an als über".split()),
+    "it": frozenset("di il i gli lo dei delle della del nel nella nelle negli al alla alle con per che chi non si ha è da dal dalla dai sulla sul su ogni tra più anche un una benché mentre perché poiché".split()),
+}
+_ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_WORDS.values())
+#: Parts of a line's distribution with their numbers of places and their weights.
+PARTS = {"signs": (11, 2.0), "words": (6, 2.0), "languages": (7, 1.0), "repeats": (2, 0.7), "start": (8, 0.8), "end": (6, 0.8), "length": (6, 0.8), "width": (5, 0.6)}
+SIZES = np.array([n for n, _ in PARTS.values()])
+WEIGHTS = np.array([w for _, w in PARTS.values()]) / sum(w for _, w in PARTS.values())
+STARTS = np.cumsum(SIZES) - SIZES
+NEIGHBOUR = 1.0
+_VOWELS = frozenset("aeiouyàáâãäåèéêëìíîïòóôõöùúûüœæ")
+#: Sign classes: 0 white, 1 vowel, 2 consonant, 3 capital, 4 digit, 5 sentence sign, 6 cell sign, 7 code sign, 8 other letter, 9 rest, 10 further white.
 _CLASSES = np.full(65536, 9, np.uint8)
+_LETTERS = np.zeros(65536, bool)
+_END = r"[.!?…:;]['\"”’»)\]]*$"
 
 
 def _fill() -> None:
     for c in range(65536):
         ch = chr(c)
-        if ch.isspace() or 0x200B <= c <= 0x200D:
+        _LETTERS[c] = ch.isalpha()
+        if ch in "|;":
+            _CLASSES[c] = 6
+        elif ch == "\t":
+            _CLASSES[c] = 10
+        elif ch.isspace() or 0x200B <= c <= 0x200D:
             _CLASSES[c] = 0
         elif ch.isdigit():
             _CLASSES[c] = 4
         elif ch in ".,!?…'’“”„«»¿¡():-–—\"‘":
             _CLASSES[c] = 5
-        elif ch in "|;":
-            _CLASSES[c] = 6
         elif ch in "{}<>[]=\\^~%@$#&*_/+`":
             _CLASSES[c] = 7
         elif ch.isalpha():
-            _CLASSES[c] = 3 if ch.isupper() else 1 if ch.lower() in "aeiouyàáâãäåèéêëìíîïòóôõöùúûüœæ" else 2 if c < 0x250 else 8
+            _CLASSES[c] = 3 if ch.isupper() else 1 if ch.lower() in _VOWELS else 2 if c < 0x250 else 8
 
 
 _fill()
-#: Profiles: shares of the character classes, of word kinds (function, other, capitalised, number, odd) and of line shapes
-#: (prose line, short line without end, bulleted, cells, long line without an end, keywords). Several profiles may have one kind.
-_PROFILES = (
-    ("prose", (0.155, 0.355, 0.40, 0.02, 0.01, 0.025, 0, 0.002, 0, 0.003), (0.36, 0.53, 0.09, 0.02, 0), (0.95, 0.05, 0, 0, 0, 0)),
-    ("prose", (0.14, 0.32, 0.42, 0.03, 0.03, 0.03, 0, 0.005, 0, 0.005), (0.22, 0.58, 0.15, 0.03, 0.02), (0.85, 0.15, 0, 0, 0, 0)),
-    ("prose", (0.05, 0.0, 0.0, 0.0, 0.01, 0.05, 0, 0.0, 0.85, 0.04), (0.0, 0.9, 0.0, 0.02, 0.08), (0.8, 0.2, 0, 0, 0, 0)),
-    ("list", (0.14, 0.36, 0.40, 0.04, 0.02, 0.02, 0, 0.01, 0, 0.01), (0.12, 0.5, 0.3, 0.08, 0), (0, 0.95, 0.05, 0, 0, 0)),
-    ("list", (0.17, 0.34, 0.37, 0.04, 0.03, 0.03, 0, 0.01, 0, 0.01), (0.12, 0.45, 0.3, 0.08, 0.05), (0, 0.05, 0.95, 0, 0, 0)),
-    ("table", (0.15, 0.16, 0.18, 0.04, 0.33, 0.08, 0.05, 0.01, 0, 0), (0.01, 0.13, 0.25, 0.5, 0.11), (0, 0, 0, 1, 0, 0)),
-    ("table", (0.2, 0.25, 0.27, 0.04, 0.16, 0.03, 0.04, 0.01, 0, 0), (0.04, 0.3, 0.3, 0.3, 0.06), (0, 0, 0, 1, 0, 0)),
-    ("junk", (0.02, 0.20, 0.22, 0.02, 0.25, 0.10, 0.05, 0.14, 0, 0), (0, 0.3, 0, 0.3, 0.4), (0, 0, 0, 0, 1, 0)),
-    ("junk", (0.0, 0.10, 0.33, 0.38, 0.15, 0, 0, 0.04, 0, 0), (0, 0, 0, 0, 1), (0, 0, 0, 0, 1, 0)),
-    ("junk", (0.12, 0.02, 0.86, 0, 0, 0, 0, 0, 0, 0), (0, 0.5, 0, 0, 0.5), (0, 0, 0, 0, 1, 0)),
-    ("junk", (0.1, 0, 0, 0, 0, 0.3, 0.08, 0.52, 0, 0), (0, 0, 0, 0, 1), (0, 0, 0, 0, 1, 0)),
-    ("junk", (0.14, 0.36, 0.42, 0.02, 0, 0.06, 0, 0, 0, 0), (0.06, 0.88, 0.06, 0, 0), (0, 0, 0, 0, 0, 1)),
-    ("junk", (0.2, 0.1, 0.1, 0.1, 0.45, 0.05, 0, 0, 0, 0), (0, 0.05, 0, 0.4, 0.55), (0, 0, 0, 0, 1, 0)),
-)
+_TRIM = ".,:!?()\"'“”„«»‘’…¿¡-–—*•"
+#: Signs that start the entries of lists.
+_BULLETS = frozenset("- – — * • · ▪ ◦ ‣ ○ ● ► + » > [ [] [x] [X] [✓]".split())
+_KINDS: dict[str, tuple[int, tuple[int, ...], int, int]] = {}
 
 
-@lru_cache(maxsize=1)
-def _profiles() -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(kinds, distributions with their three parts of one third each, their entropies)."""
-    rows = []
-    for _, *parts in _PROFILES:
-        rows.append(np.concatenate([np.array(p) / sum(p) / 3 for p in parts]))
-    table = np.array(rows)
-    return [k for k, *_ in _PROFILES], table, _plogp(table).sum(1)
+def _word(token: str) -> tuple[int, tuple[int, ...], int, int]:
+    """(kind, languages it is a function word of, start class, end class) of a token between white space.
+
+    Kinds: 0 function word, 1 other word, 2 capitalised, 3 number, 4 letters mixed with digits or signs or without a vowel, 5 signs.
+    """
+    known = _KINDS.get(token)
+    if known is not None:
+        return known
+    bare = token.strip(_TRIM)
+    low = bare.lower()
+    own = tuple(k for k, words in enumerate(FUNCTION_WORDS.values()) if low in words)
+    if own:
+        kind = 0
+    elif not bare or not any(c.isalnum() for c in bare):
+        kind = 5
+    elif all(c.isdigit() or c in ".,/:%€$£-" for c in bare):
+        kind = 3
+    elif all(c.isalpha() or c in "’'-" for c in bare):
+        kind = 4 if len(bare) > 30 or not any(c in _VOWELS or ord(c) > 0x24F for c in low) else 2 if bare[0].isupper() else 1
+    else:
+        kind = 4
+    first, last = token[0], token[-1]
+    if token in _BULLETS:
+        start = 4
+    elif token[-1] in ").]" and 0 < len(bare) <= 3 and bare.isalnum() and len(token) <= 5:
+        start = 7  # a number or letter that counts
+    else:
+        start = 0 if first.isupper() else 1 if first.islower() else 2 if first.isdigit() else 3 if first in "“„«\"‘¿¡(" else 5 if first in "|;" else 6
+    tail = token.rstrip("\"'”’»)]")[-1:] or last
+    end = 0 if tail in ".!?…" else 1 if tail in ",:" else 2 if tail.isalpha() else 3 if tail.isdigit() or tail == "%" else 4 if tail in "|;" else 5
+    if len(_KINDS) > 300_000:
+        _KINDS.clear()
+    known = _KINDS[token] = (kind, own, start, end)
+    return known
+
+
+class Measured:
+    """The lines of some texts as distributions, and the texts' statistics."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        n = len(texts)
+        lists = pc.split_pattern(texts, "\n")
+        counts = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        lines = pc.utf8_rtrim_whitespace(lists.flatten())
+        full = np.flatnonzero(np.asarray(pc.not_equal(pc.utf8_trim_whitespace(lines), "")))
+        self.doc = np.repeat(np.arange(n), counts)[full]
+        lines = lines.take(pa.array(full))
+        n_lines = len(full)
+        self.parts = {k: np.zeros((n_lines, size)) for k, (size, _) in PARTS.items()}
+        # signs
+        joined = "\n".join(lines.to_pylist())
+        codes = np.minimum(np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32), 65535)
+        classes = _CLASSES[codes].astype(np.int64)
+        of = np.cumsum(codes == 10) - (codes == 10)
+        lengths = np.asarray(pc.utf8_length(lines)).astype(np.int64)
+        of = np.repeat(np.arange(n_lines), lengths + 1)[: len(codes)]
+        white = (classes == 0) | (classes == 10)
+        classes[1:][white[1:] & white[:-1]] = 10
+        real = codes != 10
+        table = np.bincount(of[real] * 11 + classes[real], minlength=n_lines * 11).reshape(n_lines, 11)
+        self.parts["signs"][:] = table
+        self.size = table[:, 1:10].sum(1)
+        letters = _LETTERS[codes]
+        begins = letters.copy()
+        begins[1:] &= ~letters[:-1]
+        words = np.bincount(self.doc[of[begins]], minlength=n) if len(of) else np.zeros(n, np.int64)
+        n_letters = np.bincount(self.doc[of[letters]], minlength=n) if len(of) else np.zeros(n, np.int64)
+        # words
+        split = pc.utf8_split_whitespace(lines)
+        line = np.repeat(np.arange(n_lines), np.asarray(pc.list_value_length(split)))
+        coded = split.flatten().dictionary_encode()
+        code = np.asarray(coded.indices).astype(np.int64)
+        keep = code != pc.index(coded.dictionary, "").as_py()
+        line, code = line[keep], code[keep]
+        looked = [_word(w) if w else (5, (), 6, 5) for w in coded.dictionary.to_pylist()]
+        kind = np.array([x[0] for x in looked], np.int64)
+        speech = np.zeros((len(looked), 7))
+        for k, (_, own, _, _) in enumerate(looked):
+            if own:
+                speech[k, list(own)] = 1 / len(own)
+            else:
+                speech[k, 6] = 1
+        np.add.at(self.parts["words"], (line, kind[code]), 1.0)
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+        if len(line):
+            self.parts["languages"][line[first]] = np.add.reduceat(speech[code], first, axis=0)
+            _, new = np.unique(self.doc[line] * len(looked) + code, return_index=True)
+            again = np.ones(len(line), np.int64)
+            again[new] = 0
+            np.add.at(self.parts["repeats"], (line, again), 1.0)
+            last = np.append(first[1:], len(line)) - 1
+            self.parts["start"][line[first], np.array([x[2] for x in looked])[code[first]]] = 1
+            self.parts["end"][line[first], np.array([x[3] for x in looked])[code[last]]] = 1
+            n_words = np.bincount(line, minlength=n_lines)
+            self.parts["length"][np.arange(n_lines), np.searchsorted([2, 5, 8, 13, 26], n_words, "right")] = 1
+            self.parts["width"][np.arange(n_lines), np.searchsorted([6, 9, 14, 40], table[:, :10].sum(1) / np.maximum(n_words, 1), "right")] = 1
+        # statistics of the texts
+        solid = np.bincount(self.doc, self.size, n)
+        digits = np.bincount(self.doc, table[:, 4], n)
+        ends = np.asarray(pc.match_substring_regex(lines, _END)).astype(float)
+        plain = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}]+")
+        of_text = np.repeat(np.arange(n), np.asarray(pc.list_value_length(plain)))
+        spelled = plain.flatten().dictionary_encode()
+        common = np.array([w in _ALL_FUNCTION_WORDS for w in spelled.dictionary.to_pylist()], bool)
+        n_common = np.bincount(of_text[common[np.asarray(spelled.indices)]], minlength=n) if len(of_text) else np.zeros(n)
+        over = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
+        self.solid = solid
+        self.statistics = [words.astype(np.int32), over(n_letters, words), over(solid - n_letters - digits, solid), over(np.bincount(self.doc, ends, n), np.bincount(self.doc, minlength=n)), over(n_common, words)]
+
+    def distributions(self) -> np.ndarray:
+        """A row for each line: the parts one after the other, each with its weight as its sum; neighbours count as much as the line."""
+        out = np.zeros((len(self.doc), int(SIZES.sum())), np.float32)
+        for (part, at, weight, size) in zip(self.parts.values(), STARTS, WEIGHTS, SIZES, strict=True):
+            own = part / np.maximum(part.sum(1, keepdims=True), 1e-9)
+            near = own.copy()
+            if len(own) > 1:
+                same = (self.doc[1:] == self.doc[:-1])[:, None]
+                near[1:] += NEIGHBOUR * own[:-1] * same
+                near[:-1] += NEIGHBOUR * own[1:] * same
+            out[:, at : at + size] = weight * near / np.maximum(near.sum(1, keepdims=True), 1e-9)
+        return out
+
+    def verdicts(self, kinds: np.ndarray) -> list[str | None]:
+        """The kind of each text from its lines' places in KINDS; null for a text without signs."""
+        n = len(self.solid)
+        weight = np.bincount(self.doc * len(KINDS) + kinds, self.size, n * len(KINDS)).reshape(n, len(KINDS)) if len(self.doc) else np.zeros((n, len(KINDS)))
+        other = 1 + weight[:, 1:].argmax(1)
+        prose = 2 * weight[:, 0] >= self.solid
+        return [None if not s else KINDS[0] if p else KINDS[o] for s, p, o in zip(self.solid, prose, other, strict=True)]
 
 
 def _plogp(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0)
-
-
-def _nearest(chars: np.ndarray, words: np.ndarray, shape: np.ndarray) -> str:
-    p = np.concatenate([x / (x.sum() or 1) / 3 for x in (chars, words, shape)])
-    kinds, table, own = _profiles()
-    divergence = (_plogp(p).sum() + own) / 2 - _plogp((p + table) / 2).sum(1)
-    return kinds[int(divergence.argmin())]
-
-
-def _form(line: str) -> str:
-    """The form of one non-blank line: cells, bullet, prose (with a sentence end), bare, or odd (no plain words)."""
-    signs = len(_CODE.findall(line))
-    if signs >= 4 and len(_BRACES.findall(line)) >= 4:
-        return "odd"
-    if line.count("|") >= 2 or line.count(";") >= 2 or line.count("\t") >= 1 and line.strip().count("\t") >= 1 or line.count('","') >= 1 or ("  " in line or "\t" in line) and len(_COLUMNS.findall(line)) >= 2 or line.count(",") >= 2 and ", " not in line:
-        if signs - line.count("|") - line.count("%") <= 0.12 * len(line) and (not _STOP.search(line) or line.count(";") + line.count("|") + line.count("\t") >= 2) and len(line) < 400:
-            return "cells"
-    if _BULLET.match(line):
-        return "prose" if len(line.split()) > 7 and re.search(r"[.!?…]$", line.rstrip()) else "bullet"
-    if signs > 0.15 * len(line):
-        return "odd"
-    longest = max(map(len, line.split()))
-    if longest > 40:
-        return "odd"
-    if _STOP.search(line):
-        return "prose"
-    return "bare"
-
-
-_SHAPE = {"prose": 0, "bare": 1, "bullet": 2, "cells": 3, "odd": 4}
-
-
-def _blocks(lines: list[str]) -> list[tuple[str, list[int]]]:
-    """(form, line numbers) of runs of lines; bare lines as wide as the wrapped lines around them go with those."""
-    forms = [_form(x) if x.strip() else "" for x in lines]
-    for k, f in enumerate(forms):
-        if f == "bare":
-            a = b = k
-            while a > 0 and forms[a - 1] == "bare":
-                a -= 1
-            while b + 1 < len(forms) and forms[b + 1] == "bare":
-                b += 1
-            near = [len(lines[i].strip()) for i in (a - 1, b + 1) if 0 <= i < len(lines) and forms[i] in ("prose", "wrapped")]
-            run = [len(lines[i].strip()) for i in range(a, b + 1)]
-            width = max([*near, *run])
-            wide = sum(n >= 0.72 * width for n in run) >= 0.8 * len(run) and width >= 24
-            flows = sum(lines[i].lstrip()[:1].islower() for i in range(a + 1, b + 2) if i < len(lines) and forms[i])
-            kind = "wrapped" if near and wide and b - a < 8 and (flows >= 0.5 * (b - a + 1) or max(near) <= 1.4 * width and flows) else "short" if b - a < 2 and max(run) < 120 else "entries"
-            for i in range(a, b + 1):
-                forms[i] = kind
-    out: list[tuple[str, list[int]]] = []
-    same = {"wrapped": "prose", "short": "short", "entries": "bare"}
-    for k, f in enumerate(forms):
-        f = same.get(f, f)
-        if not f:
-            continue
-        if out and out[-1][0] == f:
-            out[-1][1].append(k)
-        else:
-            out.append((f, [k]))
-    return out
+    return p * np.log2(np.maximum(p, np.float32(1e-12)))
 
 
-_TOKENS: dict[tuple[str, bool], int] = {}
-
-
-def _token_kind(token: str, dense: bool) -> int:
-    """0 function word, 1 other, 2 capitalised, 3 number, 4 odd, 5 none; short mixed tokens are odd where they stand dense."""
-    bare = token.strip(".,;:!?()\"'“”„«»‘’…¿¡|-–—*•[]")
-    if not bare:
-        return 5 if token in ("|", "-", "–", "—", "*", "•", "[", "]") else 4
-    if bare.lower() in FUNCTION_WORDS:
-        return 0
-    if dense and not bare.isalpha() and _MIXED.match(bare):
-        return 4
-    if bare[0].isdigit() or bare[-1] == "%":
-        return 3
-    if len(bare) > 30 or _CODE.search(bare) or not any(c in "aeiouyAEIOUYáéíóúàèìòùâêôãõäöüœ" or ord(c) > 0x24F for c in bare):
-        return 4
-    return 2 if bare[0].isupper() else 1
-
-
-def assess(text: str) -> dict:
-    """Statistics and verdict of one text; see statistics."""
-    lines = text.split("\n")
-    full = [x.strip() for x in lines if x.strip()]
-    words = _WORD.findall(text)
-    lower = [w.lower() for w in words]
-    common = sum(w in FUNCTION_WORDS for w in lower)
-    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 65535)
-    classes = _CLASSES[codes]
-    total = np.bincount(classes, minlength=10)
-    solid = int(len(classes) - total[0])
-    letters = int(total[1] + total[2] + total[3] + total[8])
-    out = {
-        "word_count": len(words),
-        "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
-        "symbol_ratio": (solid - letters - int(total[4])) / solid if solid else 0.0,
-        "ending_ratio": sum(bool(_END.search(x)) for x in full) / len(full) if full else 0.0,
-        "common_ratio": common / len(words) if words else 0.0,
-        "kind": None,
-    }
-    if not solid:
-        return out
-    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
-    weight = dict.fromkeys(KINDS, 0)
-    for form, rows in _blocks(lines):
-        chars = np.zeros(10)
-        for r in rows:
-            chars += np.bincount(classes[starts[r] : starts[r] + len(lines[r])], minlength=10)
-        size = int(chars[1:].sum())
-        if form == "short":
-            weight["prose"] += size
-            continue
-        kinds = [0.0] * 6
-        toks = [t for r in rows for t in lines[r].split()]
-        dense = len(rows) * 4 < len(toks)
-        for t in toks:
-            kind = _TOKENS.get((t, dense))
-            if kind is None:
-                if len(_TOKENS) > 300_000:
-                    _TOKENS.clear()
-                kind = _TOKENS[t, dense] = _token_kind(t, dense)
-            kinds[kind] += 1
-        kinds = np.array(kinds[:5])
-        shape = np.zeros(6)
-        plain = kinds[:3].sum()
-        longest = max(len(lines[r]) for r in rows)
-        heaped = form in ("prose", "bare") and plain >= 12 and kinds[0] <= 0.1 * plain and longest >= 120
-        if form in ("prose", "bare") and len(toks) >= 25 and not any(_STOP.search(lines[r]) for r in rows):
-            # the same few words over and over
-            heaped = heaped or len(set(toks)) < 0.35 * len(toks)
-        odd = form == "bare" and kinds[4] > (0.2 if longest >= 200 else 0.4) * len(toks)
-        flowing = form == "bare" and len(toks) > 10 * len(rows) and kinds[0] > 0.15 * len(toks) and not heaped
-        shape[4 if odd else 5 if heaped else 0 if flowing else _SHAPE[form]] = 1
-        weight[_nearest(chars, kinds, shape)] += size
-    other = max(KINDS[1:], key=lambda k: weight[k])
-    out["kind"] = other if 2 * weight["prose"] < solid else "prose"
+def divergence(rows: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    """The Jensen-Shannon divergence of each row from each profile."""
+    own, theirs = _plogp(rows).sum(1), _plogp(profiles).sum(1)
+    out = np.empty((len(rows), len(profiles)), np.float32)
+    for k in range(len(profiles)):
+        out[:, k] = (own + theirs[k]) / 2 - _plogp((rows + profiles[k]) / 2).sum(1)
     return out
 
 
+@lru_cache(maxsize=1)
+def profiles() -> tuple[np.ndarray, np.ndarray]:
+    """(profiles, the place in KINDS of each)."""
+    with np.load(MODELS / "profiles.npz") as data:
+        return data["profiles"].astype(np.float32), data["kinds"].astype(np.int64)
+
+
+def nearest(rows: np.ndarray) -> np.ndarray:
+    """The place in KINDS of the profile nearest to each row."""
+    table, kinds = profiles()
+    return kinds[divergence(rows, table).argmin(1)] if len(rows) else np.zeros(0, np.int64)
+
+
+def assess(texts: pa.Array) -> list:
+    """The columns of statistics for an array of texts."""
+    m = Measured(texts)
+    return [*[pa.array(c) for c in m.statistics], pa.array(m.verdicts(nearest(m.distributions())), pa.string())]
+
+
 _FIELDS = [T.StructField("word_count", T.IntegerType()), T.StructField("mean_word_length", T.DoubleType()), T.StructField("symbol_ratio", T.DoubleType()), T.StructField("ending_ratio", T.DoubleType()), T.StructField("common_ratio", T.DoubleType()), T.StructField("kind", T.StringType())]
 
 
@@ -240,10 +245,7 @@ def statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     the non-white signs are something else; then it is the kind that fills most. Null texts give no row.
     """
 
-    def rows(text: str) -> Iterator[tuple]:
-        yield tuple(assess(text).values())
-
-    return pages._map(df, id_col, text_col, _FIELDS, rows)
+    return pages.mapped(df, id_col, text_col, _FIELDS, lambda texts: (np.arange(len(texts)), assess(texts)))
 
 
 def not_prose(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
