@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import salted_lookup
+from quern.session import cut, salted_lookup
 
 _DROP = r"[^\p{L}\p{Nd}]+"
 
@@ -62,10 +62,18 @@ def duplicates(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
 
 
 def collapsed(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
-    """df with one row for each group (that of the smallest id) and column n_copies; rows with a null field stay, with 1."""
-    groups = duplicate_groups(df, id_col, fields).select(F.col("first_id").alias(id_col), "n_copies")
+    """df with one row for each group and column n_copies; rows with a null field stay, each for itself, with 1.
+
+    A group keeps its row of the smallest id, null ids last, one of them at ties. A column n_copies of df is replaced. The rows
+    are numbered and written once, so that repeated and null ids don't matter.
+    """
+    numbered = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+    rows = encoded(numbered, "__row", fields)
+    ids = numbered.select(F.col("__row").alias("row_id"), F.col(id_col).alias("own"))
+    first = F.min(F.struct(F.col("own").isNull().alias("late"), "own", "row_id")).alias("first")
+    groups = rows.join(ids, "row_id").groupBy("tuple").agg(first, F.count("*").alias("n_copies")).select(F.col("first.row_id").alias("__row"), F.col("n_copies").alias("__copies"))
     with_null = F.lit(False)
     for f in fields:
         with_null = with_null | F.col(f).isNull()
-    kept = df.join(groups, id_col, "left").where(F.col("n_copies").isNotNull() | with_null)
-    return kept.withColumn("n_copies", F.coalesce("n_copies", F.lit(1).cast("long")))
+    kept = numbered.join(groups, "__row", "left").where(F.col("__copies").isNotNull() | with_null)
+    return kept.withColumn("n_copies", F.coalesce("__copies", F.lit(1).cast("long"))).drop("__row", "__copies")

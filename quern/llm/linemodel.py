@@ -89,7 +89,7 @@ class LineModel:
         pick = lambda keys: np.stack([weights[row[k]] if k in row else np.zeros(len(CLASSES), np.float32) for k in keys])
         edge = lambda side: pick([side + (t if not t.isalnum() else "") for t in self.names])
         self.single, self.last, self.first = pick(self.names), edge("end"), edge("start")
-        self.bare = pick(["bias"])[0] + pick(["end"])[0] + pick(["start"])[0]
+        self.bare = pick(["bias", width(0), "end", "start"]).sum(0)
         self.wide = pick([width(k) for k in range(26)]) + pick(["bias"])
         pairs = [(f.split(" "), k) for f, k in row.items() if " " in f]
         code = {**self.number, "^": n, "$": n + 1}

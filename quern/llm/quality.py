@@ -36,7 +36,6 @@ PARTS = {"signs": (11, 2.0), "words": (6, 2.0), "languages": (7, 1.0), "repeats"
 SIZES = np.array([n for n, _ in PARTS.values()])
 WEIGHTS = np.array([w for _, w in PARTS.values()]) / sum(w for _, w in PARTS.values())
 STARTS = np.cumsum(SIZES) - SIZES
-NEIGHBOUR = 1.0
 _VOWELS = frozenset("aeiouyàáâãäåèéêëìíîïòóôõöùúûüœæ")
 #: Sign classes: 0 white, 1 vowel, 2 consonant, 3 capital, 4 digit, 5 sentence sign, 6 cell sign, 7 code sign, 8 other letter, 9 rest, 10 further white.
 _CLASSES = np.full(65536, 9, np.uint8)
@@ -181,15 +180,17 @@ class Measured:
         self.statistics = [words.astype(np.int32), over(n_letters, words), over(solid - n_letters - digits, solid), over(np.bincount(self.doc, ends, n), np.bincount(self.doc, minlength=n)), over(n_common, words)]
 
     def distributions(self) -> np.ndarray:
-        """A row for each line: the parts one after the other, each with its weight as its sum; neighbours count as much as the line."""
+        """A row for each line: the parts one after the other, each with its weight as its sum, neighbours included."""
         out = np.zeros((len(self.doc), int(SIZES.sum())), np.float32)
-        for (part, at, weight, size) in zip(self.parts.values(), STARTS, WEIGHTS, SIZES, strict=True):
+        full = np.maximum(self.size, 1)
+        same = (self.doc[1:] == self.doc[:-1]).astype(float)
+        # a neighbour counts as much as the line, and less where it is shorter
+        before, after = same * np.minimum(1, full[:-1] / full[1:]), same * np.minimum(1, full[1:] / full[:-1])
+        for part, at, weight, size in zip(self.parts.values(), STARTS, WEIGHTS, SIZES, strict=True):
             own = part / np.maximum(part.sum(1, keepdims=True), 1e-9)
             near = own.copy()
-            if len(own) > 1:
-                same = (self.doc[1:] == self.doc[:-1])[:, None]
-                near[1:] += NEIGHBOUR * own[:-1] * same
-                near[:-1] += NEIGHBOUR * own[1:] * same
+            near[1:] += before[:, None] * own[:-1]
+            near[:-1] += after[:, None] * own[1:]
             out[:, at : at + size] = weight * near / np.maximum(near.sum(1, keepdims=True), 1e-9)
         return out
 

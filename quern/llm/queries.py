@@ -52,6 +52,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), least=10)
 
 
+def p9_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.near_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_with_offsets(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.found(_table(spark, sf_dir, "evidence"), "page_id", "text")
 
@@ -93,7 +101,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.statistics(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_ALL = (p1_found, p1_pieces, p2_found, p2_pages, p3_found, p3_sites, p4_found, p4_bodies, p5_found, p5_segments, p6_found, p6_texts, p7_found, p7_pages, p8_ids, p8_round_trip, p9_found, p10_found, p10_statistics)
+_ALL = (p1_found, p1_pieces, p2_found, p2_pages, p3_found, p3_sites, p4_found, p4_bodies, p5_found, p5_segments, p6_found, p6_texts, p7_found, p7_pages, p8_ids, p8_offsets, p8_round_trip, p9_edits, p9_found, p10_found, p10_statistics)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

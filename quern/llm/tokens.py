@@ -7,6 +7,7 @@ pre-tokens. Texts with characters whose class may differ between Unicode version
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -45,6 +46,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the pattern and the byte spelling are those of this kind alone
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        if parts["model"]["type"] != "BPE" or parts["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"no byte-level BPE tokenizer with the usual pattern: {path}")
         self.tokenizer.encode_special_tokens = True
         self.pieces = regex.compile(PATTERN).findall
         self.spelling = byte_characters()
