@@ -142,7 +142,7 @@ def test_near_lines_go_together(spark):
     assert got[0] == "" and got[1].startswith("By") and got[2] == rows[2][2]
 
 
-@pytest.mark.parametrize(("line", "mask"), [("Von Hans Vogel, 3. März 2024", "von # 0"), ("Publicado em 12 de março de 2024 por João Lima", "publicado em 0 por #"), ("HOME", "home"), ("Read more. Then Ana left", "read more. then # left"), ("March 3rd, 2024 – 10:30", "0 – 0"), ("Ana Silva 12", "# 0"), ("", "")])
+@pytest.mark.parametrize(("line", "mask"), [("Von Hans Vogel, 3. März 2024", "von # 0"), ("Publicado em 12 de março de 2024 por João Lima", "publicado em 0 por #"), ("HOME", "home"), ("Read more. Then Ana left", "read more. then # left"), ("March 3rd, 2024 – 10:30", "0 – 0"), ("Maria Silva 12", "# 0"), ("", "")])
 def test_masks(line, mask):
     assert " ".join(lines.masked(line)) == mask
 
