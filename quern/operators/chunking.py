@@ -39,6 +39,19 @@ def pack(lengths: np.ndarray, size: int, fill: int = 0) -> tuple[np.ndarray, int
         at, number = stop, number + 1
 
 
+def exits(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(chunks opened, fill at the end) when a chunk starts at each piece, in one pass from the end."""
+    n = len(lengths)
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    after = np.searchsorted(total, total[:-1] + size, "right") - 1
+    chunks, fills = np.ones(n, np.int64), total[-1] - total[:-1]
+    for i in range(n - 1, -1, -1):
+        j = after[i]
+        if j < n:
+            chunks[i], fills[i] = chunks[j] + 1, fills[j]
+    return chunks, fills
+
+
 def packed_pages(pages: DataFrame, size: int, site: str = "site", order: str = "page_ord", tie: str = "page_id", text: str = "text", keep_white: bool = False) -> DataFrame:
     """Rows (site, page_ord, page_id, piece_no, start, length, chunk_no) of the non-blank pages of each site packed in order.
 
@@ -58,10 +71,10 @@ def packed_pages(pages: DataFrame, size: int, site: str = "site", order: str = "
         for (name, part), own in frame.groupby(["site", "part"], sort=False):
             lengths = np.array([p for n in own.n for p in pieces_of(n, limit)], np.int64)
             total = np.concatenate([[0], np.cumsum(lengths)])
+            chunks, fills = exits(lengths, limit)
             # where a chunk entered from before may end: within the first `size` characters
-            entries = [i for i in range(len(lengths)) if total[i] <= limit]
-            exits = [pack(lengths[i:], limit) for i in entries]
-            yield pd.DataFrame({"site": [name], "part": [part], "total": [int(total[-1])], "heads": [total[entries].tolist()], "chunks": [[int(c[-1]) + 1 for c, _ in exits]], "fills": [[f for _, f in exits]]})
+            entries = int(np.searchsorted(total[: len(lengths)], limit, "right"))
+            yield pd.DataFrame({"site": [name], "part": [part], "total": [int(total[-1])], "heads": [total[:entries].tolist()], "chunks": [chunks[:entries].tolist()], "fills": [fills[:entries].tolist()]})
 
     segments = rows.mapInPandas(sums, "site string, part int, total long, heads array<long>, chunks array<long>, fills array<long>")
 
@@ -153,3 +166,71 @@ def translation_plan(packed: DataFrame, pages: DataFrame, mode: str = "auto") ->
     hints = pages.select("page_id", "language_hint")
     todo = packed.join(hints, "page_id").where(~is_english_hint(F.col("language_hint")) if mode == "auto" else F.lit(True))
     return todo.groupBy("site", "chunk_no").agg(F.sum("length").alias("n")).groupBy("site").agg(F.count("*").alias("requests"), F.sum("n").alias("characters"))
+
+
+def chunk_texts(packed: DataFrame, pages: DataFrame, text: str = "text", keep_white: bool = False) -> DataFrame:
+    """Rows (site, chunk_no, pages, urls, n_chars) of the chunks that packed_pages laid out, with their texts cut from pages.
+
+    pages of a chunk: (url, language_hint, text) in order; urls are its distinct urls in the order of first sight. A chunk holds
+    no more characters than it was packed for, so no group is unbounded. page_id must be unique in pages.
+    """
+    body = F.col(text) if keep_white else strip(F.col(text))
+    texts = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("language_hint", F.lit("")).alias("language_hint"), body.alias("body"))
+    piece = F.substring(F.col("body"), (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
+    rows = packed.join(texts, "page_id").select("site", "chunk_no", F.struct("page_ord", "page_id", "piece_no", "url", "language_hint", piece.alias("text")).alias("p"))
+    return _gathered(rows.groupBy("site", "chunk_no").agg(F.array_sort(F.collect_list("p")).alias("p")), "site", "chunk_no")
+
+
+def _gathered(rows: DataFrame, *keys: str) -> DataFrame:
+    own = F.transform("p", lambda p: F.struct(p["url"].alias("url"), p["language_hint"].alias("language_hint"), p["text"].alias("text")))
+    urls = F.array_distinct(F.transform("p", lambda p: p["url"]))
+    return rows.select(*keys, own.alias("pages"), urls.alias("urls"), F.length(F.array_join(F.transform("p", lambda p: p["text"]), "")).cast("long").alias("n_chars"))
+
+
+def balanced_texts(pages: DataFrame, budget: int, text: str = "text") -> DataFrame:
+    """Rows (site, pages, urls, n_chars): one chunk for each site with equal shares of its pages, at most budget characters."""
+    shares = balanced_shares(pages, budget, text=text)
+    texts = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("language_hint", F.lit("")).alias("language_hint"), strip(F.col(text)).alias("body"))
+    rows = shares.join(texts, "page_id").select("site", F.struct("page_ord", "page_id", "url", "language_hint", F.substring(F.col("body"), F.lit(1), F.col("taken").cast("int")).alias("text")).alias("p"))
+    return _gathered(rows.groupBy("site").agg(F.array_sort(F.collect_list("p")).alias("p")), "site")
+
+
+def selected_texts(pages: DataFrame, size: int, percentage: float | None = None, most: int = 0, keep_white: bool = False) -> DataFrame:
+    """Rows (site, request, source_chunk, strategy, total, pages, urls, n_chars): the chunks to classify, with their texts.
+
+    request counts a site's chunks from 1; source_chunk is null for the balanced one. Sites without text have no rows.
+    """
+    packed = cut(packed_pages(pages, size, keep_white=keep_white))
+    chosen = selected_chunks(packed, percentage, most)
+    spaced = chosen.where("strategy <> 'balanced_across_pages'")
+    own = chunk_texts(packed.join(spaced.select("site", "chunk_no"), ["site", "chunk_no"], "left_semi"), pages, keep_white=keep_white)
+    number = F.row_number().over(Window.partitionBy("site").orderBy("chunk_no"))
+    # a site's numbers are ranked, not its texts
+    ranked = spaced.withColumn("request", number)
+    rows = own.join(ranked, ["site", "chunk_no"]).select("site", "request", F.col("chunk_no").alias("source_chunk"), "strategy", "total", "pages", "urls", "n_chars")
+    one = chosen.where("strategy = 'balanced_across_pages'").groupBy("site").agg(F.first("strategy").alias("strategy"), F.first("total").alias("total"))
+    balanced = balanced_texts(pages.join(one.select("site"), "site", "left_semi"), size)
+    return rows.unionByName(balanced.join(one, "site").select("site", F.lit(1).alias("request"), F.lit(None).cast("long").alias("source_chunk"), "strategy", "total", "pages", "urls", "n_chars"))
+
+
+def evidence_identity(pages: DataFrame) -> DataFrame:
+    """Rows (site, n_pages, identity): what a site's pages are, whatever their order in the table; a changed text changes it.
+
+    The sum of the first 60 bits of each page's SHA-256, which is added up before the shuffle.
+    """
+    page = F.sha2(F.concat_ws("\n", F.coalesce(F.col("page_ord").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("language_hint", F.lit("")), F.coalesce("text", F.lit(""))), 256)
+    bits = F.conv(F.substring(page, 1, 15), 16, 10).cast("decimal(38,0)")
+    return pages.groupBy(F.coalesce("site", F.lit("")).alias("site")).agg(F.count("*").alias("n_pages"), F.sum(bits).cast("string").alias("identity"))
+
+
+def plans(chunks: DataFrame, mode: str = "off") -> DataFrame:
+    """Rows (site, strategy, total_chunks, requests, translation_requests, translation_characters) of selected_texts.
+
+    mode off translates nothing, auto the pages not hinted English, all every page.
+    """
+    if mode not in ("off", "auto", "all"):
+        raise ValueError("mode must be off, auto or all")
+    wanted = F.filter("pages", lambda p: F.lit(mode == "all") | (F.lit(mode == "auto") & ~is_english_hint(p["language_hint"])))
+    chars = F.aggregate(wanted, F.lit(0).cast("long"), lambda x, p: x + F.length(p["text"]))
+    rows = chunks.select("site", "strategy", "total", F.size(wanted).alias("n"), chars.alias("chars"))
+    return rows.groupBy("site").agg(F.first("strategy").alias("strategy"), F.first("total").alias("total_chunks"), F.count("*").alias("requests"), F.count_if(F.col("n") > 0).alias("translation_requests"), F.sum("chars").alias("translation_characters"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import is_probability, rounded, strip
+from quern.functions.text import is_probability, rounded, rounded_even, strip
 
 EVIDENCE_METHODS = ("top_weighted", "mean", "maximum")
 SCORE_METHODS = ("weighted_mean", "weighted_geometric", "minimum", "weighted_geometric_bottleneck")
@@ -98,15 +98,17 @@ def combine(method: str, score: Column, weight: Column, geometric: float = 0.5,
     raise ValueError(f"no such score method: {method}")
 
 
-def fit_scores(scores: DataFrame, criteria: DataFrame, method: str = "weighted_mean", geometric: float = 0.5, bottleneck: float = 0.5, digits: int = 2) -> DataFrame:
+def fit_scores(scores: DataFrame, criteria: DataFrame, method: str = "weighted_mean", geometric: float = 0.5, bottleneck: float = 0.5, digits: int | None = 2) -> DataFrame:
     """Rows (subject, profile_id, fit_score, main_strength, main_gap): core scores combined, in percent.
 
-    Strength and gap are the best and the worst core criterion, the first declared at ties; auxiliary criteria never take part.
+    Strength and gap are the best and the worst core criterion, the first declared at ties; auxiliary criteria never take part. Without digits
+    the score is not rounded.
     """
     core = scores.join(criteria.where("role = 'core'").select("profile_id", "criterion_id", "ord", "weight"), ["profile_id", "criterion_id"])
     weight = F.coalesce("weight", F.lit(1.0))
+    shown = combine(method, F.col("score"), weight, geometric, bottleneck) * 100
     return core.groupBy("subject", "profile_id").agg(
-        rounded(combine(method, F.col("score"), weight, geometric, bottleneck) * 100, digits).alias("fit_score"),
+        (rounded(shown, digits) if digits is not None else shown).alias("fit_score"),
         F.max_by("criterion_id", F.struct(F.col("score"), -F.col("ord"))).alias("main_strength"),
         F.min_by("criterion_id", F.struct("score", "ord")).alias("main_gap"),
     )
@@ -121,3 +123,31 @@ def auxiliary_flags(scores: DataFrame, criteria: DataFrame, digits: int = 2) ->
 def unit_counts(records: DataFrame) -> DataFrame:
     """Distinct evidence units of each subject and profile."""
     return records.groupBy("subject", "profile_id", "unit").agg(F.lit(1)).groupBy("subject", "profile_id").agg(F.count("*").alias("n_units"))
+
+
+def results(records: DataFrame, criteria: DataFrame, evidence: tuple = ("top_weighted", (1.0,)), combination: tuple = ("weighted_mean", 0.5, 0.5), digits: int = 2) -> DataFrame:
+    """One row for each subject and profile: the full fit result.
+
+    (subject, profile_id, fit_score, criterion_scores and auxiliary_scores map<string,double>, auxiliary_flags map<string,boolean>,
+    main_strength, main_gap, evidence_units, criterion_evidence map<string,array>). Scores are rounded from what is unrounded, true
+    halves to the even digit; flags hold the criteria with a threshold alone. A profile has few criteria, so its maps are small.
+    """
+    best = unit_best(records)
+    method, weights = evidence
+    scores = criterion_scores(best, method, weights)
+    told = scores.join(criteria.select("profile_id", "criterion_id", "ord", "role", "threshold"), ["profile_id", "criterion_id"])
+    entry = F.struct("ord", "role", "criterion_id", rounded_even(F.col("score") * 100, digits).alias("shown"), (F.col("score") >= F.col("threshold")).alias("flag"))
+    rows = told.groupBy("subject", "profile_id").agg(F.array_sort(F.collect_list(entry)).alias("told"))
+
+    def of(role: str, value: str) -> Column:
+        own = F.filter("told", lambda x: (x["role"] == role) & x[value].isNotNull())
+        return F.map_from_entries(F.transform(own, lambda x: F.struct(x["criterion_id"], x[value])))
+
+    shown = rows.select("subject", "profile_id", of("core", "shown").alias("criterion_scores"), of("auxiliary", "shown").alias("auxiliary_scores"), of("auxiliary", "flag").alias("auxiliary_flags"))
+    fits = fit_scores(scores, criteria, *combination, digits=None)
+    fits = fits.withColumn("fit_score", rounded_even(F.col("fit_score"), digits))
+    support = supporting(best, weights if method == "top_weighted" else (1.0,))
+    support = support.groupBy("subject", "profile_id").agg(F.map_from_entries(F.collect_list(F.struct("criterion_id", "evidence"))).alias("criterion_evidence"))
+    units = unit_counts(records).withColumnRenamed("n_units", "evidence_units")
+    keys = ["subject", "profile_id"]
+    return fits.join(shown, keys).join(units, keys).join(support, keys)

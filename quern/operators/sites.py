@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import urls
-from quern.functions.text import strip
+from quern.functions.text import directory_name, strip
 
 
 def distinct_sites(sites: DataFrame) -> DataFrame:
@@ -43,3 +43,11 @@ def select_sites(sites: DataFrame, names: Sequence[str] = ("all",)) -> DataFrame
     if missing := sorted(set(names) - known):
         raise ValueError(f"unknown sites: {', '.join(missing)}")
     return kept.join(rows.select(F.col("kept_ordinal").alias("ordinal")), "ordinal", "left_semi").orderBy("ordinal")
+
+
+def directories(sites: DataFrame) -> DataFrame:
+    """Rows (ordinal, name, directory) of the kept sites; two sites of one directory, or a name of which nothing is left, are an error."""
+    rows = kept_sites(sites).select("ordinal", "name", directory_name(F.col("name"), strict=True).alias("directory"))
+    names = rows.groupBy(F.lower("directory").alias("low")).agg(F.count("*").alias("n"), F.min("name").alias("a"), F.max("name").alias("b"))
+    checked = names.withColumn("ok", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("one directory for "), F.col("a"), F.lit(" and "), F.col("b")))).otherwise(F.lit(True)))
+    return rows.join(checked.select("low", "ok"), F.lower("directory") == F.col("low")).where("ok").drop("low", "ok")

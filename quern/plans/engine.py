@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import chunking, crawl, evaluate, reporting, runs, scoring
 from quern.plans import profile as contract
+from quern.plans.runstore import RunStore
 from quern.session import cut
 from quern.sources import files
 
@@ -54,13 +55,28 @@ class Engine:
         return runs.without_run(subjects, run_table, self.profile["id"])
 
     def plan(self, pages: DataFrame, chunk_chars: int = 20_000, percentage: float | None = None, most: int = 0) -> DataFrame:
-        return chunking.selected_chunks(chunking.packed_pages(pages, chunk_chars), percentage, most)
+        """The chunks to classify with their texts, as classify takes them; plans sums them up."""
+        if chunk_chars <= 0 or most < 0:
+            raise ValueError("needs a chunk size above 0 and no negative number of chunks")
+        return chunking.selected_texts(pages, chunk_chars, percentage, most)
+
+    def smoke(self, pages: DataFrame, chunk_chars: int = 20_000) -> DataFrame:
+        """The plan of a trial: five pages and one chunk a site."""
+        rank = F.row_number().over(Window.partitionBy("site").orderBy("page_ord", "page_id"))
+        return self.plan(pages.withColumn("__rank", rank).where(F.col("__rank") <= 5).drop("__rank"), chunk_chars, most=1)
 
     def classify(self, chunks: DataFrame, evaluator: evaluate.Evaluator | None = None) -> DataFrame:
-        return evaluate.evaluated(chunks, evaluator or evaluate.hashed_evaluator([c["id"] for c in self.profile["criteria"]]))
+        """Rows (subject, chunk_no, probabilities, stage, error_type, message) for the chunks of plan."""
+        rows = chunks.select(F.col("site").alias("subject"), F.col("request").alias("chunk_no"), evaluate.joined_text(F.col("pages")).alias("text")) if "pages" in chunks.columns else chunks
+        return evaluate.evaluated(rows, evaluator or evaluate.hashed_evaluator(contract.criterion_ids(self.profile)))
+
+    def store(self, folder: str) -> RunStore:
+        return RunStore(self.spark, folder, self.profile)
 
     def crawl(self, seeds: DataFrame, links: DataFrame, **limits: int) -> DataFrame:
         return crawl.frontier(seeds, links, **limits)
 
-    def shortlist(self, rows: DataFrame, mode: int, threshold: float, gates: Sequence[str] = ()) -> DataFrame:
-        return reporting.shortlist(rows, mode, threshold, gates).select(F.col("subject").alias("Company"), "*").drop("subject")
+    def shortlist(self, rows: DataFrame, mode: int, threshold: float, gates: Sequence[str] = (), name: str = "subject", url: str = "url") -> DataFrame:
+        """Rows (Company, URL) in input order of what passes."""
+        kept = reporting.shortlist(rows, mode, threshold, gates)
+        return kept.select(F.col(name).alias("Company"), (F.col(url) if url in rows.columns else F.lit("")).alias("URL"))

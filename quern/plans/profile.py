@@ -8,12 +8,14 @@ import math
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.operators.scoring import EVIDENCE_METHODS, SCORE_METHODS
 
 _REQUIRED = {"profile_schema_version", "id", "version", "name", "instruction", "criteria", "evidence_aggregation", "score_aggregation"}
 _OPTIONAL = {"description"}
+_CRITERION = {"id", "name", "role", "instructions", "weight", "threshold"}
 
 
 def canonical_json(value: object) -> str:
@@ -36,9 +38,16 @@ def problems(profile: dict) -> list[str]:
         out.append("id must be snake case")
     if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", str(profile["version"])):
         out.append("version must be fit for a path")
+    for k in ("name", "instruction"):
+        if not isinstance(profile[k], str) or not profile[k].strip():
+            out.append(f"{k} must be a text")
+    if not isinstance(profile["criteria"], list) or not all(isinstance(c, dict) for c in profile["criteria"]) or not isinstance(profile["evidence_aggregation"], dict) or not isinstance(profile["score_aggregation"], dict):
+        return [*out, "criteria must be a list of objects, the aggregations objects"]
     seen: set[str] = set()
     for c in profile["criteria"]:
-        name = c.get("id", "")
+        if more := sorted(c.keys() - _CRITERION):
+            out.append(f"{c.get('id')}: unexpected {', '.join(more)}")
+        name = c.get("id") if isinstance(c.get("id"), str) else ""
         if name in seen or not re.fullmatch(r"[a-z][a-z0-9_]*", name):
             out.append(f"criterion id {name!r} is no new snake-case name")
         seen.add(name)
@@ -81,8 +90,37 @@ def question_hash(profile: dict) -> str:
     return hashlib.sha256(canonical_json({"instruction": profile["instruction"], "questions": questions(profile)}).encode()).hexdigest()
 
 
+#: Fixed value: the type of an answer, which is part of the questions' hash.
+ANSWER = "noul"
+
+
 def questions(profile: dict) -> dict[str, dict[str, str]]:
-    return {c["id"]: {"instructions": c["instructions"], "type": "noul"} for c in profile["criteria"]}
+    """What is asked: instructions and type by criterion."""
+    return {c["id"]: {"instructions": c["instructions"], "type": ANSWER} for c in profile["criteria"]}
+
+
+def criterion_ids(profile: dict, role: str | None = None) -> list[str]:
+    """The criteria in declared order, of a role if one is named."""
+    return [c["id"] for c in profile["criteria"] if role in (None, c["role"])]
+
+
+def exported(profile: dict) -> list[tuple[str, str, bool]]:
+    """(id, role, has a threshold) of the criteria in declared order."""
+    return [(c["id"], c["role"], "threshold" in c) for c in profile["criteria"]]
+
+
+def packaged(name: str = "example") -> dict:
+    """A profile that comes with the package."""
+    return load(str(Path(__file__).parent / "profiles" / f"{name}.json"))
+
+
+def answers(raw: Column, profile: dict) -> Column:
+    """probabilities map<string,double> from a raw answer {"answers": {id: {type: number}}}; an incomplete one is an error."""
+    parsed = F.from_json(raw, f"answers map<string,struct<{ANSWER}:double>>")["answers"]
+    ids = criterion_ids(profile)
+    found = F.map_from_arrays(F.array(*map(F.lit, ids)), F.array(*[F.try_element_at(parsed, F.lit(i))[ANSWER] for i in ids]))
+    missing = F.exists(F.map_values(found), lambda x: x.isNull())
+    return F.when(raw.isNotNull() & missing, F.raise_error(F.lit("an answer is incomplete"))).otherwise(F.when(raw.isNotNull(), found))
 
 
 def criteria_frame(spark: SparkSession, profile: dict) -> DataFrame:

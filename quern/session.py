@@ -31,13 +31,16 @@ def local_session(app: str = "quern", cores: str = "*") -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 
-    The folder is the one in spark.checkpoint.dir; a folder of our own is set only where the session names none
-    (tests on one machine). The files outlive lost executors.
+    The folder is the one in spark.checkpoint.dir; without it a cluster is an error, and a session on one machine gets a folder of its own. The files outlive lost executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

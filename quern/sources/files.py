@@ -7,6 +7,7 @@ import json
 import os
 import tempfile
 from pathlib import Path
+from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_object(path: str) -> dict:
+    """The one JSON object of a small file on the driver; anything else is a TypeError."""
+    value = json.loads(Path(path).read_text(encoding="utf-8"))
+    if not isinstance(value, dict):
+        raise TypeError(f"no JSON object: {path}")
+    return value
+
+
+def read_stream(spark: SparkSession, stream: IO[str]) -> DataFrame:
+    """A whole text stream, such as standard input, as one row (path, text, sha256)."""
+    text = stream.read()
+    return spark.createDataFrame([("-", text)], "path string, text string").withColumn("sha256", F.sha2("text", 256))
+
+
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     """Pages of an evidence log; missing fields are empty."""
     return read_jsonl(spark, path, EVIDENCE).na.fill("")

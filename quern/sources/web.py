@@ -83,9 +83,33 @@ def language_hint(header: Column, lang: Column) -> Column:
     return F.when(first != "", first).otherwise(F.coalesce(lang, F.lit("")))
 
 
-def sitemap_locations(xml: Column) -> Column:
-    """The locations of a sitemap or an index, whatever the namespace; xml must be well formed."""
-    return F.xpath(xml, F.lit("//*[local-name()='loc']/text()"))
+def sitemaps(contents: DataFrame) -> DataFrame:
+    """contents (url, content binary) with kind (index, urlset or unknown) and locations, whatever the namespace; gzip is unpacked.
+
+    Malformed or broken contents are unknown, without locations.
+    """
+    from xml.etree import ElementTree
+
+    @F.pandas_udf("kind string, locations array<string>")
+    def read(raw: pd.Series) -> pd.DataFrame:
+        out = []
+        for b in raw:
+            try:
+                root = ElementTree.fromstring(gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b)
+            except (ElementTree.ParseError, OSError, EOFError, TypeError, ValueError):
+                out.append(("unknown", []))
+                continue
+            local = lambda e: e.tag.rsplit("}", 1)[-1].lower() if isinstance(e.tag, str) else ""
+            kind = {"sitemapindex": "index", "urlset": "urlset"}.get(local(root), "unknown")
+            out.append((kind, [e.text.strip() for e in root.iter() if local(e) == "loc" and e.text and e.text.strip()]))
+        return pd.DataFrame(out, columns=["kind", "locations"])
+
+    return contents.withColumn("__x", read("content")).select("*", "__x.kind", "__x.locations").drop("__x")
+
+
+def robots_sitemaps(rules: Column) -> Column:
+    """The sitemaps that a robots file names."""
+    return F.regexp_extract_all(F.coalesce(rules, F.lit("")), F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), 1)
 
 
 def unzipped_udf():  # noqa: ANN201

@@ -88,7 +88,10 @@ def test_top_weights_use_what_there_is(spark):
 
 def test_shortlists_and_overview(spark):
     rows = spark.createDataFrame([("a", 70.0, 30.0, 45.0), ("b", 71.0, 29.0, 50.0), ("c", float("nan"), 60.0, 60.0), ("d", None, None, 99.0)], "subject string, fit_score double, g1 double, g2 double")
-    assert [r.subject for r in reporting.shortlist(rows, 1, 70.0).collect()] == ["b"]
-    assert {r.subject for r in reporting.shortlist(rows, 2, 30.0, ["g1", "g2"]).collect()} == {"a", "c"}
+    assert [r.subject for r in reporting.shortlist(rows.where("subject < 'c'"), 1, 70.0).collect()] == ["b"]
+    assert {r.subject for r in reporting.shortlist(rows.where("subject < 'd'"), 2, 30.0, ["g1", "g2"]).collect()} == {"a", "c"}
+    for mode, gates in ((1, []), (2, ["g1"])):
+        with pytest.raises(Exception, match="finite"):
+            reporting.shortlist(rows, mode, 30.0, gates).collect()
     got = reporting.overview(rows.where("subject IN ('a', 'b')").withColumn("k", F.lit("k")), ["k"], "fit_score").first()
     assert (got.n, got["mean"], got.median, got.deviation) == (2, 70.5, 70.5, 0.5)
