@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.operators import scoring
 
+#: Parts of the log by subject.
+BUCKETS = 64
+
 
 def windowed_counts(responses: DataFrame, window: str = "1 day", late: str = "3 days", time: str = "recorded_at") -> DataFrame:
     """Records of each subject in tumbling windows; rows later than the watermark are left out. Works on streams and tables."""
@@ -20,14 +23,21 @@ def windowed_counts(responses: DataFrame, window: str = "1 day", late: str = "3
 def rescored(stream: DataFrame, criteria: DataFrame, log_path: str, checkpoint: str, sink: Callable[[DataFrame, int], None], method: str = "top_weighted", weights: tuple[float, ...] = (1.0,)) -> StreamingQuery:
     """Append each batch to the log and score again the subjects it names; sink gets their criterion scores.
 
-    Batches are written under their id, so a batch that runs again replaces what it wrote.
+    Batches are written under their id, so a batch that runs again replaces what it wrote, and in BUCKETS by subject, so that a
+    batch reads again only the buckets of its subjects.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        log = spark.read.schema(batch.schema).parquet(f"{log_path}/batch=*")
-        touched = spark.read.schema(batch.schema).parquet(f"{log_path}/batch={number}").select("subject").distinct()
+        bucket = F.pmod(F.xxhash64("subject"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        batch.select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch={number}")
+        own = spark.read.option("basePath", log_path).parquet(f"{log_path}/batch={number}") if not batch.isEmpty() else None
+        if own is None:
+            sink(scoring.criterion_scores(scoring.unit_best(scoring.long_records(batch, criteria)), method, weights), number)
+            return
+        buckets = [r.bucket for r in own.select("bucket").distinct().collect()]  # at most BUCKETS
+        log = spark.read.option("basePath", log_path).parquet(f"{log_path}/batch=*").where(F.col("bucket").isin(buckets)).select(*batch.columns)
+        touched = own.select("subject").distinct()
         records = scoring.long_records(log.join(touched, "subject", "left_semi"), criteria)
         sink(scoring.criterion_scores(scoring.unit_best(records), method, weights), number)
 
