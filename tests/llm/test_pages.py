@@ -163,6 +163,17 @@ def test_a_template_carries_its_parts(spark):
     assert {r.template for r in mined.collect()} == {"a b c d"}
 
 
+@pytest.mark.parametrize("broadcast", [200_000, -1])
+def test_parts_of_all_pages_are_mined(spark, monkeypatch, broadcast):
+    """A part that alone reads as a message goes with its template, whose other parts stand on pages of main text."""
+    monkeypatch.setattr(residue, "BROADCAST", broadcast)
+    df = table(spark, "The audit trail shows what this page could not find at the main server.", *["The audit trail shows what each page can always find at the main server."] * 20, *RESIDUE)
+    on = {p.id for r in residue.undecided_parts(df, "id", "text").collect() for p in r.pages}
+    assert on == set(range(21 + len(RESIDUE)))
+    alone = {r.id for r in residue.found(df, "id", "text", merge=False).collect()}
+    assert alone - {r.id for r in residue.found(df, "id", "text").collect()} == {0}
+
+
 def test_unseen_phrases():
     """General phrases that no labelled line spells out in these words."""
     p = lambda x: linemodel.model().of_line(x)
