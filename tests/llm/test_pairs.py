@@ -128,6 +128,21 @@ def test_repeated_lines_against_brute_force(spark, repeat):
     assert lines.repeated_lines(df.limit(0), near=False).count() == 0
 
 
+@pytest.mark.parametrize("small", [500_000, -1])
+def test_equal_lines_come_through_the_clusters(spark, monkeypatch, small):
+    """Spellings of one line with different masks are one line, near ones of the same cluster aren't; without the clusters they are lost."""
+    monkeypatch.setattr("quern.session.SMALL", small)
+    monkeypatch.setattr(lines, "WANTED", small)
+    byline = "Written by Ana Silva on 3.4.2021 for the readers of this long page"
+    spelled = [byline, byline.upper(), byline.lower()]
+    rows = [(k, "http://a.test", f"{spelled[k % 3]}\n{byline.replace('Ana Silva', 'Eva Sand')}" if k < 7 else spelled[k % 3]) for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, text string")
+    got = lambda: {(r.page_id, r.line_no) for r in lines.repeated_lines(df, least=8, near=False).collect()}
+    assert got() == plain_lines(rows, 8) == {(k, 1) for k in range(9)}
+    monkeypatch.setattr(lines, "mask_clusters", lambda *_, **__: spark.createDataFrame([], "mask long, cluster long"))
+    assert got() == set()
+
+
 NAMES = ["Ana Silva", "João Lima", "Marie Dupont", "Hans Vogel", "Rosa Conti", "Peter Brown", "Lena Moll", "Tom Reed", "Eva Sand", "Ivo Prat"]
 
 
